@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, quality_rules, secrets, token_counts
+from . import bpe, fingerprints, mixing, near_dedup, quality_rules, secrets, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         secrets.op1_secret_scan,
+        near_dedup.op2_near_dedup,
+        fingerprints.op3_fingerprints,
         bpe.op4_byte_bpe,
         quality_rules.op7_quality_rules,
         token_counts.op8_token_counts,
