@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, mixing, near_dedup, quality_rules, secrets, token_counts
+from . import bpe, fingerprints, lang_id, mixing, near_dedup, quality_classifier, quality_rules, secrets, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -15,8 +15,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         near_dedup.op2_near_dedup,
         fingerprints.op3_fingerprints,
         bpe.op4_byte_bpe,
+        lang_id.op6_lang_id,
         quality_rules.op7_quality_rules,
         token_counts.op8_token_counts,
+        quality_classifier.op9_quality_classifier,
         mixing.op10_source_mixing,
     )
 }
