@@ -191,8 +191,8 @@ def slices(batch: pa.RecordBatch, column: int = 1, limit: int = BATCH_BYTES) ->
         at = stop
 
 
-def round_trip(docs: DataFrame, encoder: Encoder, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encodes each text, then decodes the ids.
+def round_trip(docs: DataFrame, encoder: Encoder, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encodes each text, then decodes the ids; with_ids: ids, too.
 
     A null text counts as empty (no tokens); repeated rows give repeated results; an empty table gives none; texts
     of any length are encoded whole; other columns are ignored.
@@ -201,17 +201,14 @@ def round_trip(docs: DataFrame, encoder: Encoder, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_ids, sha = encoder.encoding(), hashlib.sha256
         for b in batches:
-            n, a, d = [], [], []
             for part in slices(b):
-                for t in part.column(1).to_pylist():
-                    ids = to_ids(t or "")
-                    n.append(len(ids) // 4)
-                    a.append(sha(ids).hexdigest())
-                    d.append(sha(encoder.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                ids = [to_ids(t or "") for t in part.column(1).to_pylist()]
+                columns = [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([sha(x).hexdigest() for x in ids], pa.string()), pa.array([sha(encoder.decode(x)).hexdigest() for x in ids], pa.string())]
+                yield pa.RecordBatch.from_arrays([*columns, *[pa.array(ids, pa.binary())] * with_ids], names=names)
 
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids)
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,8 +105,8 @@ class Crf:
         counts = np.diff(starts)
         blocks = -(-counts // STEPS)
         n_blocks = int(blocks.sum())
-        if not n_blocks:
-            return np.zeros((0, n_langs))
+        if not n_blocks or not n_langs:
+            return np.zeros((len(emissions), n_langs))
         first = np.cumsum(blocks) - blocks
         of_word = np.repeat(np.arange(len(counts)), counts)
         rank = np.arange(len(emissions)) - np.repeat(starts[:-1] - starts[0], counts)
