@@ -101,7 +101,7 @@ class Crf:
     def posteriors(self, emissions: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Of each word, given all words of its text; texts are the words between starts."""
         n_langs = len(self.langs)
-        move = np.exp(self.move - self.move.max())
+        move = np.exp(self.move - self.move.max(initial=0))
         counts = np.diff(starts)
         blocks = -(-counts // STEPS)
         n_blocks = int(blocks.sum())

@@ -22,7 +22,7 @@ def test_stages(spark, tmp_path):
             text = " ".join(f"{w.upper()}!! $$$" for w in text.split())
         elif i % 7 == 1:
             text += f' token = "{token}" end'
-        elif i % 7 == 2 and not rows[-1][1].startswith("token"):
+        elif i % 7 == 2 and (i - 1) % 5:
             text = rows[-1][1] + " more"
         rows.append((i, text, "en", f"src{i % 3}", len(text)))
         if i % 2:
