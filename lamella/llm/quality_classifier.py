@@ -121,7 +121,7 @@ class QualityModel:
 
 def expand(grams: np.ndarray, dense: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     """Trigram shares, and for each dense feature the cuts it passes."""
-    passed = (dense[:, :, None] > cuts[None]).reshape(len(dense), -1)
+    passed = (dense[:, :, None] > cuts[None]).reshape(len(dense), cuts.size)
     return np.concatenate([grams, passed.astype(np.float32)], axis=1)
 
 
