@@ -105,10 +105,10 @@ def _differing(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(1, SKETCH)), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, width: int, threshold: float) -> DataFrame:
-    """The pairs (u, v) whose full shingle sets are alike enough; docs: (doc_id, text). Materialized.
+def confirm(pairs: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
+    """The pairs (u, v) whose full shingle sets are alike enough; texts: (doc_id, text). Materialized.
 
-    100 * intersection >= 100 * threshold * union, in integers. Only texts of ids in pairs are joined.
+    100 * intersection >= 100 * threshold * union, in integers.
     """
     percent = round(100 * threshold)
 
@@ -122,8 +122,6 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, threshold: float) ->
                     good.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
                 yield part.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    texts = materialize(docs.join(ids, "doc_id", "left_semi"), "texts")
     rows = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v")
     return materialize(rows.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "links")
 
@@ -166,7 +164,10 @@ def link(reps: DataFrame, docs: DataFrame, width: int, threshold: float) -> Data
     pairs = members.where("rep <> leader").select(F.col("leader").alias("u"), F.col("rep").alias("v")).distinct()
     near = pairs.join(sketches.alias("x"), F.col("u") == F.col("x.rep")).join(sketches.alias("y"), F.col("v") == F.col("y.rep"))
     tested = materialize(near.where(_differing("x", "y") <= most_bits(threshold)).select("u", "v").distinct(), "pairs")
-    links = confirm(tested, docs, width, threshold)
+    # texts that share a bucket with another go through one shuffle, in the same way at every size
+    shared = members.select(F.col("rep").alias("doc_id")).distinct()
+    texts = materialize(docs.join(shared.hint("merge"), "doc_id", "left_semi"), "texts")
+    links = confirm(tested, texts, width, threshold)
     found = materialize(components(links), "components")
 
     # members of a bucket that are not in one component yet: compared with one another, a block with a block at a time
@@ -186,7 +187,7 @@ def link(reps: DataFrame, docs: DataFrame, width: int, threshold: float) -> Data
     more = materialize(more, "pairs")
     if more.isEmpty():
         return found
-    return components(links.unionAll(confirm(more, docs, width, threshold)))
+    return components(links.unionAll(confirm(more, texts, width, threshold)))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,7 +214,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_
 def deduplicate(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
     """The rows of docs that near_duplicates() keeps: of each component, its smallest id."""
     drop = near_duplicates(docs, width, threshold).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(drop, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(drop.hint("merge"), F.col("doc_id") == F.col("_gone"), "left_anti")
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
