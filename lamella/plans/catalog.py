@@ -180,6 +180,14 @@ def kv_batch_apply(spark, sf_dir):
     return resolve.visible(wal.apply_batches(ops)).select("key", "value", "seq")
 
 
+@query(f"with {LATEST} select key, value, seq from lv where not deleted")
+def kv_scan_bucketed(spark, sf_dir):
+    """The current state of a log stored in buckets of keys: no shuffle."""
+    from ..sources.bucketed import read_bucketed, write_bucketed
+
+    return resolve.visible(read_bucketed(spark, write_bucketed(mutations(spark, sf_dir), 8))).select("key", "value", "seq")
+
+
 # Lookups
 
 

@@ -112,3 +112,14 @@ def test_plan_shapes(spark, tmp_path):
     keys = reads.keys(log)._jdf.queryExecution().executedPlan().toString()
     assert "value" not in keys[keys.index("ReadSchema") :]
     assert "EqualTo(deleted" not in resolve.visible(log)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_buckets_need_no_shuffle(spark):
+    from lamella.operators import resolve
+    from lamella.sources.bucketed import read_bucketed, write_bucketed
+
+    log = spark.createDataFrame([(b"%d" % (i % 50), b"v", i % 9 == 0, i) for i in range(500)], model.MUTATION)
+    table = read_bucketed(spark, write_bucketed(log, 4))
+    state = resolve.visible(table)
+    assert "Exchange" not in state._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, state.collect())) == sorted(map(tuple, resolve.visible(log).collect()))
