@@ -1,22 +1,24 @@
 """Suffix-array dedup: removes bytes covered by a 50-byte string that also starts in a document with a smaller id.
 
 1. Anchors. Each 50-byte string has an anchor: the least hash of its 20-byte substrings. Equal strings have equal
-   anchors, so a string of two documents has an anchor of two documents. Documents are reduced to their distinct
-   anchors (about one in 17 bytes), and those in more than one document are found by a shuffle of packed anchors.
-2. Contexts. Each document's strings with such an anchor are cut out, a run of neighbouring strings with one anchor as
-   one context, and meet the other contexts of that anchor. Contexts of an anchor that very many documents have are cut
-   into single strings, which meet by their own hash, so no anchor makes an unbounded group.
+   anchors. Neighbouring strings with one anchor are a run, its text a context (at most 80 bytes). Documents are reduced
+   to their runs (about one in 17 bytes), packed, and meet by anchor: a context that a smaller document has, too, is
+   settled as a whole; an anchor with different contexts leaves them open; all others are done.
+2. Contexts. The open contexts are cut from the texts and meet by anchor. Those of an anchor that very many documents
+   have are cut into single strings, which meet by their own hash, so no anchor makes an unbounded group.
 3. Suffix arrays. Contexts that meet are sorted in blocks of about a megabyte by two-stage suffix sorting; neighbours
    with a common prefix of 50 bytes are one string, and its smallest id decides.
 4. Spans are merged by document and cut from the text.
 
-Within a batch, equal anchors and equal contexts are settled at once, so frequent ones cost one row a batch. The
-comparison is exact: hashes only choose what meets.
+Within a batch, equal contexts are settled at once, so frequent ones cost one entry a batch. Anchors meet by 32 bits
+within a bucket, which can only open more contexts; contexts are equal by 48-bit hashes within an anchor. Texts are
+compressed for the two shuffles that join them with what was found.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,34 +28,36 @@ from pyspark.sql import functions as F
 
 from .bpe import slices
 from .common import materialize, read
-from .shingles import BYTE, mix
+from .shingles import BYTE, mix, powers
 
 LENGTH = 50
 ANCHOR = 20
-#: Documents from which on an anchor's contexts are cut into single strings.
+#: Open contexts of an anchor from which on they are cut into single strings.
 FREQUENT = 20_000
 #: Anchors, and bytes of contexts, that one block holds about.
 BLOCK_ANCHORS, BLOCK_BYTES = 500_000, 1_000_000
+#: What becomes of a run, above the 48 bits of its context's hash.
+SETTLED, OPEN, OPEN_FREQUENT = (k << 48 for k in (0, 1, 2))
 _LOW = np.uint64((1 << 48) - 1)
-_FREQUENT_BIT = 1 << 62
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 # case counts here
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * BYTE[ord("z")])
 
 
-def substring_hashes(data: np.ndarray, length: int) -> np.ndarray:
-    """Hashes of all substrings of this length, by doubling."""
-    part, span, out, done = _BYTE[data], 1, None, 0
-    power = lambda n: np.uint64(pow(int(_BASE), n, 1 << 64))
-    left = length
-    while True:
-        if left & 1:
-            out, done = (part, span) if out is None else (out[: len(out) - span] + part[done:] [: len(out) - span] * power(done), done + span)
-        left >>= 1
-        if not left:
-            return mix(out)
-        part = part[:-span] + part[span:] * power(span)
-        span *= 2
+class Hashes:
+    """Hashes of any substrings of an array, from a running sum of its bytes times powers of an odd base."""
+
+    def __init__(self, data: np.ndarray):
+        self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[data] * powers(_BASE, len(data)), out=self.sums[1:])
+        self.inverse = powers(_INVERSE, len(data) + 1)
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.sums[end] - self.sums[start]) * self.inverse[start])
+
+    def all_of(self, length: int) -> np.ndarray:
+        return mix((self.sums[length:] - self.sums[:-length]) * self.inverse[: len(self.inverse) - length])
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -65,27 +69,30 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:-rest], x[rest:]) if rest else x
 
 
-def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All texts as one array; of each run of strings with one anchor its text, first start in the array, and the anchor.
-
-    The third array has one more entry a run at its end: starts of strings go from first to last[i].
-    """
+def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts as one array; of each run its text, the first and last start of its strings, its anchor, its context's hash."""
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     if len(data) < LENGTH:
         none = np.zeros(0, dtype=np.int64)
-        return data, none, np.zeros((0, 2), dtype=np.int64), none.astype(np.uint64)
-    least = sliding_least(substring_hashes(data, ANCHOR), LENGTH - ANCHOR + 1)
+        return data, none, np.zeros((0, 2), dtype=np.int64), none.astype(np.uint64), none
+    hashes = Hashes(data)
+    width = LENGTH - ANCHOR + 1
+    least = sliding_least(hashes.all_of(ANCHOR), width)
     text = np.repeat(np.arange(len(texts)), sizes)
-    begin = np.cumsum(sizes) - sizes
-    there = np.arange(len(least)) + LENGTH <= (begin + sizes)[text[: len(least)]]
+    n = len(least)
+    there = np.arange(n) + LENGTH <= np.cumsum(sizes)[text[:n]]
     new = there.copy()
-    new[1:] &= (least[1:] != least[:-1]) | ~there[:-1] | (text[1 : len(least)] != text[: len(least) - 1])
-    first = np.flatnonzero(new)
+    new[1:] &= (least[1:] != least[:-1]) | ~there[:-1] | (text[1:n] != text[: n - 1])
+    # a run longer than its anchor alone can make it (repeated text) is cut, so that contexts stay short
+    place = np.arange(n)
+    since = place - np.maximum.accumulate(np.where(new, place, 0))
+    new |= there & (since % width == 0)
     ends = there.copy()
     ends[:-1] &= new[1:] | ~there[1:]
-    last = np.flatnonzero(ends)
-    return data, text[first], np.stack([first, last], axis=1), least[first]
+    first, last = np.flatnonzero(new), np.flatnonzero(ends)
+    context = (hashes(first, last + LENGTH) & _LOW).astype(np.int64)
+    return data, text[first], np.stack([first, last], axis=1), least[first], context
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -96,14 +103,15 @@ def _unpack(x: bytes) -> np.ndarray:
     return np.frombuffer(x, dtype="<i8")
 
 
-def _pack48(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def _narrow(x: np.ndarray, n: int) -> bytes:
+    """The low n bytes of each integer."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n]).tobytes()
 
 
-def _unpack48(x: bytes) -> np.ndarray:
-    wide = np.zeros((len(x) // 6, 8), dtype=np.uint8)
-    wide[:, :6] = np.frombuffer(x, dtype=np.uint8).reshape(-1, 6)
-    return wide.view("<u8").ravel()
+def _widen(x: bytes, n: int) -> np.ndarray:
+    wide = np.zeros((len(x) // n, 8), dtype=np.uint8)
+    wide[:, :n] = np.frombuffer(x, dtype=np.uint8).reshape(-1, n)
+    return wide.view("<i8").ravel()
 
 
 def suffix_order(data: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -242,121 +250,125 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
 
 
 def _ask(n_buckets: int):
-    """Of each batch: its distinct anchors, each by its smallest document; and the rows whose anchor the batch has twice."""
+    """Of each batch: its distinct contexts, each by its smallest document, by anchor; and the runs it settles itself."""
+    schema = pa.schema([("bucket", pa.int64()), ("docs", pa.binary()), ("anchors", pa.binary()), ("contexts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            docs, hashes = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)]
+            docs, hashes, contexts = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
             for part in slices(b, limit=2_000_000):
                 ids = np.array(part.column(0).to_pylist(), dtype=np.int64)
-                _, text, _, h = anchors([(t or "").encode() for t in part.column(1).to_pylist()])
+                _, text, _, h, c = anchors([(t or "").encode() for t in part.column(1).to_pylist()])
                 docs.append(ids[text])
                 hashes.append(h)
-            doc, h = np.concatenate(docs), np.concatenate(hashes)
-            by = np.lexsort((doc, h))
-            doc, h = doc[by], h[by]
-            keep = np.ones(len(h), dtype=bool)
-            keep[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-            doc, h = doc[keep], h[keep]
-            new = np.ones(len(h), dtype=bool)
-            new[1:] = h[1:] != h[:-1]
-            first = np.flatnonzero(new)
-            count = np.diff(np.append(first, len(h)))
-            twice = np.repeat(count > 1, count)
-            asked = _by_bucket(h[first], doc[first], n_buckets, count)
-            told = _by_bucket(h[twice], doc[twice], n_buckets, None)
-            rows = [{"bucket": k, "docs": d, "hashes": x, "counts": n, "told_docs": None, "told_hashes": None} for k, d, x, n in asked]
-            rows += [{"bucket": k, "docs": None, "hashes": None, "counts": None, "told_docs": d, "told_hashes": x} for k, d, x, _ in told]
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in ("docs", "hashes", "counts", "told_docs", "told_hashes"))]))
+                contexts.append(c)
+            doc, h, c = np.concatenate(docs), np.concatenate(hashes), np.concatenate(contexts)
+            by = np.lexsort((doc, c, h))
+            doc, h, c = doc[by], h[by], c[by]
+            first = np.ones(len(h), dtype=bool)
+            first[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+            least = doc[first][np.cumsum(first) - 1]
+            rows = [{"bucket": k, "docs": d, "anchors": x, "contexts": y} for k, d, x, y in _by_bucket(h[first], doc[first], c[first], n_buckets)]
+            done = ~first & (doc > least)
+            rows += [{"bucket": k, "docs": d, "anchors": None, "contexts": y} for k, d, _, y in _by_bucket(h[done], doc[done], c[done], n_buckets)]
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
     return run
 
 
-def _by_bucket(h: np.ndarray, doc: np.ndarray, n_buckets: int, count: np.ndarray | None) -> Iterator[tuple[int, bytes, bytes, bytes | None]]:
+def _by_bucket(h: np.ndarray, doc: np.ndarray, c: np.ndarray, n_buckets: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
     """Packed by bucket, documents ascending, as differences."""
     bucket = ((h >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64)
     by = np.lexsort((doc, bucket))
     edges = np.flatnonzero(np.diff(bucket[by], prepend=-1))
     for part in np.split(by, edges[1:]) if len(by) else []:
-        yield int(bucket[part[0]]), _pack(np.diff(doc[part], prepend=0)), _pack48(h[part]), None if count is None else count[part].astype("<u4").tobytes()
+        yield int(bucket[part[0]]), _pack(np.diff(doc[part], prepend=0)), _narrow(h[part], 4), _narrow(c[part], 6)
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, anchor): the anchors of more than one document; and, with a null id, those of FREQUENT documents."""
+    """(doc_id, run): context hash with SETTLED, if a smaller document has the context, or OPEN, if its anchor has others."""
     for rows in _groups(batches):
-        asked, told = [r for r in rows if r["docs"] is not None], [r for r in rows if r["docs"] is None]
-        doc = np.concatenate([np.zeros(0, dtype=np.int64), *(np.cumsum(_unpack(r["told_docs"])) for r in told)])
-        anchor = np.concatenate([np.zeros(0, dtype=np.uint64), *(_unpack48(r["told_hashes"]) for r in told)])
-        frequent = np.zeros(0, dtype=np.uint64)
+        asked, told = [r for r in rows if r["anchors"] is not None], [r for r in rows if r["anchors"] is None]
+        doc, run = [np.cumsum(_unpack(r["docs"])) for r in told], [_widen(r["contexts"], 6) | SETTLED for r in told]
         if asked:
-            h = np.concatenate([_unpack48(r["hashes"]) for r in asked])
+            h = np.concatenate([_widen(r["anchors"], 4) for r in asked])
+            c = np.concatenate([_widen(r["contexts"], 6) for r in asked])
             d = np.concatenate([np.cumsum(_unpack(r["docs"])) for r in asked])
-            n = np.concatenate([np.frombuffer(r["counts"], dtype="<u4") for r in asked]).astype(np.int64)
-            by = np.argsort(h, kind="stable")
-            h, d, n = h[by], d[by], n[by]
-            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            size = np.diff(np.append(first, len(h)))
-            more = np.repeat(size > 1, size) & (n == 1)
-            doc, anchor = np.concatenate([doc, d[more]]), np.concatenate([anchor, h[more]])
-            frequent = h[first][np.add.reduceat(n, first) >= FREQUENT]
-        ids = pa.array(np.concatenate([doc, np.zeros(len(frequent), dtype=np.int64)]), mask=np.arange(len(doc) + len(frequent)) >= len(doc))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate([anchor, frequent]).astype(np.int64))], names=["doc_id", "anchor"])
+            by = np.lexsort((d, c, h))
+            h, c, d = h[by], c[by], d[by]
+            new_anchor = np.concatenate([[True], h[1:] != h[:-1]])
+            new = new_anchor | np.concatenate([[True], c[1:] != c[:-1]])
+            n_contexts = np.add.reduceat(new, np.flatnonzero(new_anchor))[np.cumsum(new_anchor) - 1]
+            done = d > d[new][np.cumsum(new) - 1]
+            for rows_, kind in ((done, SETTLED), (new & (n_contexts > 1) & (n_contexts < FREQUENT), OPEN), (new & (n_contexts > 1) & (n_contexts >= FREQUENT), OPEN_FREQUENT)):
+                doc.append(d[rows_])
+                run.append(c[rows_] | kind)
+        none = np.zeros(0, dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *doc])), pa.array(np.concatenate([none, *run]))], names=["doc_id", "run"])
+
+
+def squeeze(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with the text's bytes compressed, for a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in slices(b):
+                packed = [zlib.compress((t or "").encode(), 1) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, packed binary")
 
 
 def _cut_contexts(n_buckets: int):
-    """Contexts of the anchors told (column 2), packed by bucket; what the batch settles comes as spans."""
+    """Of each document: open contexts, packed by bucket, and settled runs as spans."""
     schema = pa.schema([("bucket", pa.int64()), ("docs", pa.binary()), ("starts", pa.binary()), ("sizes", pa.binary()), ("data", pa.binary()), ("spans", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in slices(b, limit=2_000_000):
+            for part in slices(b, limit=800_000):
                 ids = np.array(part.column(0).to_pylist(), dtype=np.int64)
-                texts = [(t or "").encode() for t in part.column(1).to_pylist()]
-                data, text, place, h = anchors(texts)
+                texts = [zlib.decompress(t) for t in part.column(1).to_pylist()]
+                data, text, place, h, c = anchors(texts)
                 begin = np.cumsum([0, *map(len, texts)])
                 told = [np.array(x, dtype=np.int64) for x in part.column(2).to_pylist()]
-                of = np.searchsorted(text, np.arange(len(texts) + 1))
-                low = (h & _LOW).astype(np.int64)
-                wanted, frequent = np.zeros(len(h), dtype=bool), np.zeros(len(h), dtype=bool)
-                for i, x in enumerate(told):
-                    own = low[of[i] : of[i + 1]]
-                    wanted[of[i] : of[i + 1]] = np.isin(own, x & (_FREQUENT_BIT - 1))
-                    often = x[x >= _FREQUENT_BIT] - _FREQUENT_BIT
-                    if len(often):
-                        frequent[of[i] : of[i + 1]] = np.isin(own, often)
-                rows = np.flatnonzero(wanted & ~frequent)
-                first, size, doc_at, key = place[rows, 0], place[rows, 1] - place[rows, 0] + LENGTH, text[rows], h[rows]
-                rows = np.flatnonzero(wanted & frequent)
+                # runs of one document are told apart from others' by its number
+                salt = mix(np.arange(len(texts), dtype=np.uint64) + np.uint64(1))
+                own = (c.astype(np.uint64) ^ salt[text]) if len(c) else c.astype(np.uint64)
+                every = np.concatenate([np.zeros(0, dtype=np.int64), *told])
+                kind, key = every >> 48 << 48, (every & int(_LOW)).astype(np.uint64) ^ np.repeat(salt, [len(x) for x in told])
+                settled = np.isin(own, key[kind == SETTLED])
+                gone = np.zeros(len(data) + 1, dtype=np.int32)
+                np.add.at(gone, place[settled, 0], 1)
+                np.add.at(gone, place[settled, 1] + 1, -1)
+                of = np.repeat(np.arange(len(texts)), np.diff(begin))
+                spans = _spans(np.cumsum(gone) > 0, of, ids, -begin[:-1])
+                rows = np.flatnonzero(np.isin(own, key[kind == OPEN]) & ~settled)
+                first, size, doc_at, meet = place[rows, 0], place[rows, 1] - place[rows, 0] + LENGTH, text[rows], h[rows]
+                rows = np.flatnonzero(np.isin(own, key[kind == OPEN_FREQUENT]) & ~settled)
                 if len(rows):
                     n = place[rows, 1] - place[rows, 0] + 1
                     single = np.repeat(place[rows, 0] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
                     first = np.concatenate([first, single])
                     size = np.concatenate([size, np.full(len(single), LENGTH)])
                     doc_at = np.concatenate([doc_at, np.repeat(text[rows], n)])
-                    key = np.concatenate([key, substring_hashes(data, LENGTH)[single]])
-                yield pa.RecordBatch.from_pylist(_settle(data, first, size, ids[doc_at], first - begin[doc_at], key, n_buckets), schema)
+                    meet = np.concatenate([meet, Hashes(data)(single, single + LENGTH)])
+                out = _by_block(data, first, size, ids[doc_at], first - begin[doc_at], meet, n_buckets)
+                if len(spans[0]):
+                    out.append({"bucket": int(spans[0][0]) % n_buckets, "spans": _pack(np.stack(spans, axis=1))})
+                yield pa.RecordBatch.from_pylist(out, schema)
 
     return run
 
 
-def _settle(data: np.ndarray, first: np.ndarray, size: np.ndarray, doc: np.ndarray, start: np.ndarray, key: np.ndarray, n_buckets: int) -> list[dict]:
-    """Rows of contexts by bucket; of equal contexts only the smallest document's, the others give spans."""
-    raw, smallest, spans = data.tobytes(), {}, []
-    keep = []
-    for i in np.lexsort((start, doc)).tolist():
-        c = raw[first[i] : first[i] + size[i]]
-        other = smallest.setdefault(c, doc[i])
-        if other < doc[i]:
-            spans.append((doc[i], start[i], start[i] + size[i]))
-        else:
-            keep.append(i)
-    out = [{"bucket": int(spans[0][0]) % n_buckets, "spans": _pack(np.array(spans))}] if spans else []
-    if keep:
-        rows = np.array(keep)
-        bucket = (key[rows] % np.uint64(n_buckets)).astype(np.int64)
-        by = np.argsort(bucket, kind="stable")
-        for part in np.split(rows[by], np.flatnonzero(np.diff(bucket[by])) + 1):
-            out.append({"bucket": int(key[part[0]] % np.uint64(n_buckets)), "docs": _pack(doc[part]), "starts": _pack(start[part]), "sizes": _pack(size[part]), "data": b"".join(raw[first[i] : first[i] + size[i]] for i in part.tolist())})
+def _by_block(data: np.ndarray, first: np.ndarray, size: np.ndarray, doc: np.ndarray, start: np.ndarray, meet: np.ndarray, n_buckets: int) -> list[dict]:
+    """Contexts packed by the bucket in which they meet."""
+    bucket = (meet % np.uint64(n_buckets)).astype(np.int64)
+    by = np.argsort(bucket, kind="stable")
+    out = []
+    for part in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1) if len(by) else []:
+        n = size[part]
+        index = np.repeat(first[part] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        out.append({"bucket": int(bucket[part[0]]), "docs": _pack(doc[part]), "starts": _pack(start[part]), "sizes": _pack(n), "data": data[index].tobytes()})
     return out
 
 
@@ -376,14 +388,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, a, b) of docs (doc_id, text; no null ids): spans to remove, which may overlap or touch."""
     n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_buckets = max(1, n_bytes // (17 * BLOCK_ANCHORS))
-    asked = docs.mapInArrow(_ask(n_buckets), "bucket long, docs binary, hashes binary, counts binary, told_docs binary, told_hashes binary")
-    told = materialize(asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answer, "doc_id long, anchor long"), "anchors")
-    often = told.where("doc_id is null").select("anchor", F.lit(_FREQUENT_BIT).alias("bit"))
-    flags = told.where("doc_id is not null").join(often, "anchor", "left").select("doc_id", (F.col("anchor") + F.coalesce("bit", F.lit(0))).alias("anchor"))
-    n_contexts = told.count()
-    n_blocks = max(1, n_contexts * 67 // BLOCK_BYTES)
-    flags = flags.groupBy("doc_id").agg(F.collect_list("anchor").alias("told"))
-    contexts = docs.join(flags, "doc_id").select("doc_id", "text", "told").mapInArrow(_cut_contexts(n_blocks), "bucket long, docs binary, starts binary, sizes binary, data binary, spans binary")
+    asked = docs.mapInArrow(_ask(n_buckets), "bucket long, docs binary, anchors binary, contexts binary")
+    told = materialize(asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answer, "doc_id long, run long"), "runs")
+    n_open = told.where(F.col("run") >= OPEN).count()
+    n_blocks = max(1, n_open * 67 // BLOCK_BYTES)
+    runs = told.groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
+    contexts = squeeze(docs).join(runs, "doc_id").select("doc_id", "packed", "runs").mapInArrow(_cut_contexts(n_blocks), "bucket long, docs binary, starts binary, sizes binary, data binary, spans binary")
     return materialize(contexts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sort_blocks, "doc_id long, a long, b long"), "spans")
 
 
@@ -400,10 +410,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in slices(b):
+            for part in slices(b, limit=1_500_000):
                 out = []
-                for doc, text, own in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
-                    raw = text.encode()
+                for doc, packed, own in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
+                    raw = zlib.decompress(packed)
                     kept, at, removed, n = [], 0, 0, 0
                     for x in sorted((s["a"], min(s["b"], len(raw))) for s in own or [] if s["a"] < len(raw)):
                         if x[0] > at or not n:
@@ -416,7 +426,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 columns = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, [pa.int64()] * 4 + [pa.string(), pa.binary()], strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return texts.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(run, schema)
+    return squeeze(texts).join(spans, "doc_id", "left").select("doc_id", "packed", "spans").mapInArrow(run, schema)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,13 +78,16 @@ def test_suffix_order_and_prefixes():
 def test_anchors_depend_on_the_string_alone():
     rng = random.Random(8)
     texts = [bytes(rng.choice(b"abc ") for _ in range(rng.randrange(200))) for _ in range(30)]
-    data, text, place, h = suffix_dedup.anchors(texts)
+    data, text, place, h, context = suffix_dedup.anchors(texts)
     begin = np.cumsum([0, *map(len, texts)])
     of = {}
     for t, (a, b), x in zip(text, place, h, strict=True):
         for p in range(a, b + 1):
             assert begin[t] <= p and p + 50 <= begin[t + 1]
             assert of.setdefault(data[p : p + 50].tobytes(), x) == x
+    contexts = {}
+    for (a, b), c in zip(place, context, strict=True):
+        assert b - a <= 30 and contexts.setdefault(c, data[a : b + 50].tobytes()) == data[a : b + 50].tobytes()
     assert sum(b - a + 1 for a, b in place) == sum(max(0, len(t) - 49) for t in texts)
 
 
