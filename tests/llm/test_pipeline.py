@@ -57,3 +57,15 @@ def test_stages(spark, tmp_path):
         assert r["decoded_sha256"] == hashlib.sha256(seen[4][i]["text"].encode()).hexdigest()
     whole = corpus_pipeline.run(spark, folder)
     assert whole.count() == docs.count() and re.match("doc_id", whole.columns[0])
+
+
+def test_stages_on_hard_rows(spark, hard, tmp_path):
+    """Nulls anywhere, empty and long texts, repeated rows, more columns, no rows at all."""
+    spark.createDataFrame([(4, 1, 0), (9, 0, 0), (None, 1, None), (8, None, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    blank = spark.createDataFrame([(None,) * 7] * 2, hard.schema)
+    for docs in (hard, hard.unionAll(blank), hard.limit(0)):
+        n = docs.count()
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, str(tmp_path))
+            assert k == 4 or out.columns == docs.columns
+            assert out.count() == {0: n, 1: n - 1 if n else 0, 2: n, 4: n}.get(k, out.count())
