@@ -78,9 +78,8 @@ def words(text: Column) -> Column:
 
 def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> DataFrame:
     """The keys with at least this share of the rows, by exact counts: at most 1 / share rows."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.agg(F.count(F.lit(1)).alias("_all"))
-    return counts.crossJoin(F.broadcast(total)).where(F.col("_n") >= F.greatest(F.col("_all") * share, F.lit(1000))).select(*keys)
+    least = max(1000, df.count() * share)
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select(*keys)
 
 
 def join_by_key(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", hot: DataFrame | None = None) -> DataFrame:

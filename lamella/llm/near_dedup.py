@@ -157,8 +157,7 @@ def link(reps: DataFrame, docs: DataFrame, width: int, threshold: float) -> Data
     members = reps.select("rep", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = materialize(buckets, "buckets")
-    total = F.broadcast(reps.agg((F.count(F.lit(1)) * BANDS * HOT_SHARE).alias("most")))
-    hot = buckets.crossJoin(total).where((F.col("n") >= F.col("most")) & (F.col("n") >= 1000)).select("key")
+    hot = buckets.where(F.col("n") >= max(1000, reps.count() * BANDS * HOT_SHARE)).select("key")
     members = materialize(join_by_key(members, buckets, ["key"], hot=hot), "members")
 
     pairs = members.where("rep <> leader").select(F.col("leader").alias("u"), F.col("rep").alias("v")).distinct()
