@@ -6,7 +6,7 @@
    settled as a whole; an anchor with different contexts leaves them open; all others are done.
 2. Contexts. The open contexts are cut from the texts and meet by anchor. Those of an anchor that very many documents
    have are cut into single strings, which meet by their own hash, so no anchor makes an unbounded group.
-3. Suffix arrays. Contexts that meet are sorted in blocks of about a megabyte by two-stage suffix sorting; neighbours
+3. Suffix arrays. Contexts that meet are sorted in blocks of about half a megabyte by two-stage suffix sorting; neighbours
    with a common prefix of 50 bytes are one string, and its smallest id decides.
 4. Spans are merged by document and cut from the text.
 
@@ -35,7 +35,9 @@ ANCHOR = 20
 #: Open contexts of an anchor from which on they are cut into single strings.
 FREQUENT = 20_000
 #: Anchors, and bytes of contexts, that one block holds about.
-BLOCK_ANCHORS, BLOCK_BYTES = 500_000, 1_000_000
+BLOCK_ANCHORS, BLOCK_BYTES = 500_000, 500_000
+#: Bytes of text within which equal contexts are settled before any shuffle.
+BATCH_BYTES = 12_000_000
 #: What becomes of a run, above the 48 bits of its context's hash.
 SETTLED, OPEN, OPEN_FREQUENT = (k << 48 for k in (0, 1, 2))
 _LOW = np.uint64((1 << 48) - 1)
@@ -250,28 +252,34 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
 
 
 def _ask(n_buckets: int):
-    """Of each batch: its distinct contexts, each by its smallest document, by anchor; and the runs it settles itself."""
+    """Of BATCH_BYTES of texts: the distinct contexts, each by its smallest document, by anchor; and the runs settled by that."""
     schema = pa.schema([("bucket", pa.int64()), ("docs", pa.binary()), ("anchors", pa.binary()), ("contexts", pa.binary())])
 
+    def settle(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        doc, h, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+        by = np.lexsort((doc, c, h))
+        doc, h, c = doc[by], h[by], c[by]
+        first = np.ones(len(h), dtype=bool)
+        first[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+        least = doc[first][np.cumsum(first) - 1]
+        rows = [{"bucket": k, "docs": d, "anchors": x, "contexts": y} for k, d, x, y in _by_bucket(h[first], doc[first], c[first], n_buckets)]
+        done = ~first & (doc > least)
+        rows += [{"bucket": k, "docs": d, "anchors": None, "contexts": y} for k, d, _, y in _by_bucket(h[done], doc[done], c[done], n_buckets)]
+        return pa.RecordBatch.from_pylist(rows, schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
         for b in batches:
-            docs, hashes, contexts = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
-            for part in slices(b, limit=2_000_000):
+            for part in slices(b, limit=1_000_000):
                 ids = np.array(part.column(0).to_pylist(), dtype=np.int64)
-                _, text, _, h, c = anchors([(t or "").encode() for t in part.column(1).to_pylist()])
-                docs.append(ids[text])
-                hashes.append(h)
-                contexts.append(c)
-            doc, h, c = np.concatenate(docs), np.concatenate(hashes), np.concatenate(contexts)
-            by = np.lexsort((doc, c, h))
-            doc, h, c = doc[by], h[by], c[by]
-            first = np.ones(len(h), dtype=bool)
-            first[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
-            least = doc[first][np.cumsum(first) - 1]
-            rows = [{"bucket": k, "docs": d, "anchors": x, "contexts": y} for k, d, x, y in _by_bucket(h[first], doc[first], c[first], n_buckets)]
-            done = ~first & (doc > least)
-            rows += [{"bucket": k, "docs": d, "anchors": None, "contexts": y} for k, d, _, y in _by_bucket(h[done], doc[done], c[done], n_buckets)]
-            yield pa.RecordBatch.from_pylist(rows, schema)
+                data, text, _, h, c = anchors([(t or "").encode() for t in part.column(1).to_pylist()])
+                parts.append((ids[text], h, c))
+                size += len(data)
+                if size >= BATCH_BYTES:
+                    yield settle(parts)
+                    parts, size = [], 0
+        if parts:
+            yield settle(parts)
 
     return run
 
