@@ -35,7 +35,7 @@ ANCHOR = 20
 #: Open contexts of an anchor from which on they are cut into single strings.
 FREQUENT = 20_000
 #: Anchors, and bytes of contexts, that one block holds about.
-BLOCK_ANCHORS, BLOCK_BYTES = 500_000, 500_000
+BLOCK_ANCHORS, BLOCK_BYTES = 150_000, 500_000
 #: Bytes of text within which equal contexts are settled before any shuffle.
 BATCH_BYTES = 12_000_000
 #: What becomes of a run, above the 48 bits of its context's hash.
