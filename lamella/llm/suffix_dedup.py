@@ -6,7 +6,7 @@
    settled as a whole; an anchor with different contexts leaves them open; all others are done.
 2. Contexts. The open contexts are cut from the texts and meet by anchor. Those of an anchor that very many documents
    have are cut into single strings, which meet by their own hash, so no anchor makes an unbounded group.
-3. Suffix arrays. Contexts that meet are sorted in blocks of about half a megabyte by two-stage suffix sorting; neighbours
+3. Suffix arrays. Contexts that meet are sorted in blocks of about 300 kB by two-stage suffix sorting; neighbours
    with a common prefix of 50 bytes are one string, and its smallest id decides.
 4. Spans are merged by document and cut from the text.
 
@@ -35,9 +35,9 @@ ANCHOR = 20
 #: Open contexts of an anchor from which on they are cut into single strings.
 FREQUENT = 20_000
 #: Anchors, and bytes of contexts, that one block holds about.
-BLOCK_ANCHORS, BLOCK_BYTES = 150_000, 500_000
+BLOCK_ANCHORS, BLOCK_BYTES = 150_000, 300_000
 #: Bytes of text within which equal contexts are settled before any shuffle.
-BATCH_BYTES = 12_000_000
+BATCH_BYTES = 6_000_000
 #: What becomes of a run, above the 48 bits of its context's hash.
 SETTLED, OPEN, OPEN_FREQUENT = (k << 48 for k in (0, 1, 2))
 _LOW = np.uint64((1 << 48) - 1)
@@ -241,12 +241,13 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
     """Rows of sorted batches with one value of bucket at a time."""
     rows, bucket = [], None
     for b in batches:
-        for r in b.to_pylist():
-            if rows and r["bucket"] != bucket:
-                yield rows
-                rows = []
-            bucket = r["bucket"]
-            rows.append(r)
+        for i in range(0, b.num_rows, 32):
+            for r in b.slice(i, 32).to_pylist():
+                if rows and r["bucket"] != bucket:
+                    yield rows
+                    rows = []
+                bucket = r["bucket"]
+                rows.append(r)
     if rows:
         yield rows
 
