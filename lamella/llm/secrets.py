@@ -22,8 +22,10 @@ HEX = r"[0-9a-f]{32,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 MIN_CHARS = 20
 _RUN = "[A-Za-z0-9+/_=-]"
-#: A whole run of 20 or more with a letter and a digit. It can only start where a run starts, so the search is linear.
-CANDIDATE = rf"(?<!{_RUN})(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z]){_RUN}{{{MIN_CHARS},}}"
+#: A stretch of n characters needs a sum of ratios above the threshold of NEED - n, LEAST at least; it ends FALL below its peak.
+NEED, LEAST, FALL = 28.0, 6.0, 8.0
+#: Spans of stretches are widened to these characters or the run's ends.
+_PIECE = "^[^/=_-]*"
 
 WORDS = """account action active address admin alert amount api archive array article asset async attribute audit author
 backup balance bank base batch block body branch browser bucket buffer build button cache calendar call cancel card cart
@@ -96,16 +98,79 @@ def train(samples: DataFrame, threshold: float = 0.5, smoothing: float = 0.5) ->
     return MarkovModel(tuple(ratios), threshold)
 
 
-def mean_ratio(token: Column, model: MarkovModel) -> Column:
-    """Mean log-likelihood ratio a transition of a token of ALPHABET's characters (0 for fewer than two)."""
+def least_chars(model: MarkovModel) -> int:
+    """The shortest stretch that any string could pass with: shorter runs needn't be scored."""
+    n, chars = len(ALPHABET), range(len(ALPHABET))
+    best, length = [0.0] * n, 1
+    while max(best) < max(LEAST, NEED - length) and length < MIN_CHARS:
+        best = [max(best[a] + model.ratios[a * n + b] - model.threshold for a in chars) for b in chars]
+        length += 1
+    return length
+
+
+def _steps(token: Column, model: MarkovModel) -> Column:
+    """Log-likelihood ratio of each transition of a token of ALPHABET's characters."""
     table, n = F.array(*map(F.lit, model.ratios)), len(ALPHABET)
     codes = F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    rest = lambda c, at: F.slice(c, at, F.greatest(F.size(c) - 1, F.lit(0)))
+    return let(codes, lambda c: F.zip_with(rest(c, 1), rest(c, 2), lambda a, b: F.element_at(table, (a - 1) * n + b)))
+
+
+def mean_ratio(token: Column, model: MarkovModel) -> Column:
+    """Mean log-likelihood ratio a transition of a token of ALPHABET's characters (0 for fewer than two)."""
+    return let(_steps(token, model), lambda x: F.when(F.size(x) > 0, F.aggregate(x, F.lit(0.0), lambda s, r: s + r) / F.size(x)).otherwise(0.0))
+
+
+def _need(n: Column) -> Column:
+    return F.greatest(F.lit(LEAST), F.lit(NEED) - n)
+
+
+def _stretches(token: Column, steps: Column, model: MarkovModel) -> Column:
+    """The stretches of a token that look random, widened to whole pieces, in order, those that meet as one."""
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    zero = F.struct(
+        F.lit(0).alias("i"), F.lit(0.0).alias("sum"), F.lit(0).alias("start"), F.lit(0.0).alias("peak"), F.lit(0).alias("end"), none.alias("out"),
+    )
+    passes = lambda s: s["peak"] >= _need(s["end"] - s["start"])
+    flush = lambda s: F.when(passes(s), F.concat(s["out"], F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))).otherwise(s["out"])
+
+    def step(s: Column, ratio: Column) -> Column:
+        over = (s["sum"] <= 0) | (s["sum"] < s["peak"] - FALL)
+        total, peak = F.when(over, 0.0).otherwise(s["sum"]) + ratio - model.threshold, F.when(over, 0.0).otherwise(s["peak"])
+        return F.struct(
+            (s["i"] + 1).alias("i"), total.alias("sum"), F.when(over, s["i"]).otherwise(s["start"]).alias("start"), F.greatest(total, peak).alias("peak"),
+            F.when(total > peak, s["i"] + 2).when(over, s["i"]).otherwise(s["end"]).alias("end"), F.when(over, flush(s)).otherwise(s["out"]).alias("out"),
+        )
+
+    def widen(x: Column) -> Column:
+        before = F.regexp_extract(F.reverse(token.substr(F.lit(1), x["start"])), _PIECE, 0)
+        after = F.regexp_extract(token.substr(x["end"] + 1, F.length(token)), _PIECE, 0)
+        return F.struct((x["start"] - F.length(before)).alias("start"), (x["end"] + F.length(after)).alias("end"))
+
+    def join(out: Column, x: Column) -> Column:
+        last = F.get(out, F.size(out) - 1)
+        both = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        return F.when((F.size(out) > 0) & (last["end"] >= x["start"]), F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(both))).otherwise(F.concat(out, F.array(x)))
+
+    return F.aggregate(F.transform(F.aggregate(steps, zero, step, flush), widen), none, join)
 
-    def score(c: Column) -> Column:
-        steps = F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c) - 1), lambda a, b: F.element_at(table, (a - 1) * n + b))
-        return F.when(F.size(c) > 1, F.aggregate(steps, F.lit(0.0), lambda s, x: s + x) / (F.size(c) - 1)).otherwise(0.0)
 
-    return let(codes, score)
+def random_spans(token: Column, model: MarkovModel) -> Column:
+    """(start, end) of what looks random in a run of ALPHABET's characters: the whole of it or its stretches.
+
+    A run of MIN_CHARS with a letter and a digit is one span if its mean ratio passes the threshold. Otherwise any
+    stretch counts by its sum of ratios, whatever stands beside it.
+    """
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    mixed = (F.length(token) >= MIN_CHARS) & token.rlike("[0-9]") & token.rlike("[A-Za-z]")
+
+    def spans(x: Column) -> Column:
+        total = F.aggregate(x, F.lit(0.0), lambda s, r: s + r)
+        most = F.aggregate(x, F.lit(0.0), lambda s, r: s + F.greatest(r - model.threshold, F.lit(0.0)))
+        whole = F.array(F.struct(F.lit(0).alias("start"), F.length(token).alias("end")))
+        return F.when(mixed & (total / F.size(x) >= model.threshold), whole).when(most >= _need(F.length(token)), _stretches(token, x, model)).otherwise(none)
+
+    return let(_steps(token, model), spans)
 
 
 def _found(text: Column, matches: Column, pattern: str, kind: int, keep) -> Column:
@@ -116,27 +181,37 @@ def _found(text: Column, matches: Column, pattern: str, kind: int, keep) -> Colu
     return F.when(F.size(matches) > 0, F.filter(spans, lambda x: keep(x["value"]))).otherwise(F.array().cast(SPANS))
 
 
+def _parts(runs: str, model: MarkovModel) -> Column:
+    """The random spans of all runs, as spans of the text."""
+
+    def parts(x: Column) -> Column:
+        at = lambda p: F.struct((x["start"] + p["start"]).alias("start"), x["kind"].alias("kind"), (x["start"] + p["end"]).alias("end"), x["value"].substr(p["start"] + 1, p["end"] - p["start"]).alias("value"))
+        return F.transform(random_spans(x["value"], model), at)
+
+    return F.flatten(F.transform(runs, parts))
+
+
 SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
 def scan(docs: DataFrame, model: MarkovModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, _text, base, extra): spans (start, kind, end, value) of each row, by code points, end exclusive, sorted.
 
-    base holds the pattern kinds, extra the tokens whose mean log-likelihood ratio passes the model's threshold and
-    that touch no base span. A null text counts as empty; repeated rows give repeated results; an empty table gives
+    base holds the pattern kinds, extra what random_spans finds in the runs of ALPHABET's characters and that
+    touches no base span. A null text counts as empty; repeated rows give repeated results; an empty table gives
     none; other columns are ignored.
     """
-    patterns = (ASSIGN, ACCESS, HEX, CANDIDATE)
+    patterns = (ASSIGN, ACCESS, HEX, rf"{_RUN}{{{least_chars(model)},}}")
     kept = (
         lambda v: F.length(F.regexp_extract(v, ASSIGN, 1)) >= 8,
         lambda v: F.lit(True),
         lambda v: F.lit(True),
-        lambda v: mean_ratio(v, model) >= model.threshold,
+        lambda v: F.lit(True),
     )
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     rows = rows.select("doc_id", "_text", *[F.regexp_extract_all("_text", F.lit(p), F.lit(0)).alias(f"_m{k}") for k, p in enumerate(patterns)])
     rows = rows.select("doc_id", "_text", *[_found(F.col("_text"), F.col(f"_m{k}"), p, k, kept[k]).alias(f"_s{k}") for k, p in enumerate(patterns)])
-    rows = rows.select("doc_id", "_text", F.sort_array(F.concat("_s0", "_s1", "_s2")).alias("base"), F.col("_s3").alias("_s3"))
+    rows = rows.select("doc_id", "_text", F.sort_array(F.concat("_s0", "_s1", "_s2")).alias("base"), _parts("_s3", model).alias("_s3"))
     free = F.filter("_s3", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     return rows.select("doc_id", "_text", "base", F.when(F.size("_s3") > 0, free).otherwise(F.col("_s3")).alias("extra"))
 

@@ -1,6 +1,7 @@
 """Secret scans and quality rules against brute force."""
 
 import hashlib
+import random
 import re
 import string
 
@@ -40,6 +41,22 @@ def test_random_strings_score_above_identifiers(spark):
     assert min(score[:2]) > 0.5 > 0 > max(score[2:4]) and score[4] == 0.0
 
 
+def test_random_strings_beside_words(spark):
+    model = secrets.train(secrets.labelled_samples(spark))
+    rng = random.Random(3)
+    chars = string.ascii_letters + string.digits
+    rows = [(before, "".join(rng.choices(chars, k=n)), after) for before in ("account/reset/", "export_access_value=", "account/billing/settings/reset/") for n in (24, 40) for after in ("", "/index/page") for _ in range(25)]
+    rows += [("", "".join(rng.choices(string.ascii_letters, k=24)), "") for _ in range(50)] + [("", "".join(rng.choices(chars, k=18)), "") for _ in range(50)]
+    docs = spark.createDataFrame([(i, f"see {a}{x}{b} there") for i, (a, x, b) in enumerate(rows)], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in secrets.redact(docs, model).collect()}
+    missed = [x for i, (_, x, _) in enumerate(rows) if x in out[i]]
+    assert len(missed) < 0.05 * len(rows), missed
+    assert not any(x[-12:] in out[i] for i, (_, x, _) in enumerate(rows) if x not in missed)
+    words = [r["sample"] for r in secrets.labelled_samples(spark, 1000).where("label = 0").collect()]
+    plain = secrets.scan(spark.createDataFrame(list(enumerate(words)), "doc_id long, text string"), model)
+    assert plain.where("size(extra) > 0").count() == 0
+
+
 def test_redact_keeps_rows_and_columns(spark, hard):
     model = secrets.train(secrets.labelled_samples(spark, 500))
     docs = spark.createDataFrame(SECRETS, "doc_id long, text string").selectExpr("*", "length(text) n_chars", "'k' base")
