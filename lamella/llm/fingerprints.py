@@ -1,7 +1,7 @@
 """Document fingerprints by order MinHash, in DataFrame functions only.
 
-The k-mers of a text (two tokens; a token is a run of at most eight characters without white space) are numbered by
-occurrence, hashed, and spread over BINS by their hash. In each bin the TUPLE smallest stay, in text order, and their
+The k-mers of a text (two tokens; a token is a run of at most eight characters without white space, and each eight
+characters, at every position, of a longer run) are numbered by occurrence, hashed, and spread over BINS by their hash. In each bin the TUPLE smallest stay, in text order, and their
 tuple is hashed: two texts agree in a bin only if the same k-mers are smallest there and stand in the same order, so
 likeness falls with edits and with moves. One hash over bins stands for as many hash functions.
 
@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from .common import let, read
 
-TOKEN = r"[^\x20\x09-\x0D]{1,8}"
+_CHAR = r"[^\x20\x09-\x0D]"
+#: Group 1 is the token, one a match; a match takes one character, so that those of a long run overlap.
+TOKEN = rf"(?=({_CHAR}{{8}}|(?<!{_CHAR}){_CHAR}{{1,7}}(?!{_CHAR}))){_CHAR}"
 BINS = 64
 TUPLE = 2
 #: Bits of a packed integer: the position in the text below, the k-mer's hash above.
@@ -44,7 +46,7 @@ def signature(text: Column) -> Column:
 
     A text without tokens has one entry that stands for the text itself. Equal texts have equal signatures.
     """
-    tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1))
     kmers = let(tokens, lambda t: F.when(F.size(t) > 1, F.zip_with(F.slice(t, 1, F.size(t) - 1), F.slice(t, 2, F.size(t) - 1), lambda a, b: F.xxhash64(a, b))).otherwise(F.transform(t, lambda a: F.xxhash64(a))))
     low = lambda x, bits: x.bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
     ordered = F.sort_array(F.transform(kmers, lambda h, i: F.shiftleft(low(h, _HASH), _POS).bitwiseOR(i.cast("long"))))

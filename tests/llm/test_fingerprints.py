@@ -55,6 +55,16 @@ def test_sensitive_to_order_and_edits(spark):
     assert likeness(spark, "", "") == 1.0 and likeness(spark, "", " ") == 0.0 and likeness(spark, "x", "y") == 0.0
 
 
+def test_insertions_in_texts_without_spaces(spark):
+    rng = random.Random(4)
+    for low, high in ((0x4E00, 0x9FFF), (0x20000, 0x2A6DF), (0x61, 0x7A)):
+        text = "".join(chr(rng.randint(low, high)) for _ in range(3000))
+        assert likeness(spark, text, text[:10] + chr(low) + text[10:]) > 0.8
+        assert likeness(spark, text, text[:1500] + text[1501:]) > 0.8
+    tokens = spark.createDataFrame([("ab \U00020000cdefghij\n12345678",)], "t string").select(F.regexp_extract_all("t", F.lit(fingerprints.TOKEN), F.lit(1))).first()[0]
+    assert tokens == ["ab", "\U00020000cdefghi", "cdefghij", "12345678"]
+
+
 def test_occurrence_numbers(spark):
     for text in ("a " * 9, "a b " * 300 + "c", "x y z " * 7 + "a " * 40):
         tokens = text.split()
