@@ -191,14 +191,25 @@ def _parts(runs: str, model: MarkovModel) -> Column:
     return F.flatten(F.transform(runs, parts))
 
 
+def _outside(x: Column, base: Column, model: MarkovModel) -> Column:
+    """The parts of span x outside the base spans, which are sorted by start; what is cut off must look random itself."""
+    none = F.array().cast(SPANS)
+    part = lambda a, b: F.struct(a.alias("start"), x["kind"].alias("kind"), b.alias("end"), x["value"].substr(a - x["start"] + 1, b - a).alias("value"))
+    random = lambda a, b: ((a == x["start"]) & (b == x["end"])) | (mean_ratio(part(a, b)["value"], model) >= model.threshold)
+    add = lambda s, to: F.when((s["at"] < to) & random(s["at"], to), F.concat(s["out"], F.array(part(s["at"], to)))).otherwise(s["out"])
+    meets = F.filter(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    step = lambda s, b: F.struct(F.greatest(s["at"], b["end"]).alias("at"), add(s, b["start"]).alias("out"))
+    return F.aggregate(meets, F.struct(x["start"].alias("at"), none.alias("out")), step, lambda s: add(s, x["end"]))
+
+
 SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
 def scan(docs: DataFrame, model: MarkovModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, _text, base, extra): spans (start, kind, end, value) of each row, by code points, end exclusive, sorted.
 
-    base holds the pattern kinds, extra what random_spans finds in the runs of ALPHABET's characters and that
-    touches no base span. A null text counts as empty; repeated rows give repeated results; an empty table gives
+    base holds the pattern kinds, extra what random_spans finds in the runs of ALPHABET's characters, less
+    the base spans. A null text counts as empty; repeated rows give repeated results; an empty table gives
     none; other columns are ignored.
     """
     patterns = (ASSIGN, ACCESS, HEX, rf"{_RUN}{{{least_chars(model)},}}")
@@ -212,7 +223,7 @@ def scan(docs: DataFrame, model: MarkovModel, id_col: str = "doc_id", text_col:
     rows = rows.select("doc_id", "_text", *[F.regexp_extract_all("_text", F.lit(p), F.lit(0)).alias(f"_m{k}") for k, p in enumerate(patterns)])
     rows = rows.select("doc_id", "_text", *[_found(F.col("_text"), F.col(f"_m{k}"), p, k, kept[k]).alias(f"_s{k}") for k, p in enumerate(patterns)])
     rows = rows.select("doc_id", "_text", F.sort_array(F.concat("_s0", "_s1", "_s2")).alias("base"), _parts("_s3", model).alias("_s3"))
-    free = F.filter("_s3", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    free = F.flatten(F.transform("_s3", lambda x: _outside(x, F.col("base"), model)))
     return rows.select("doc_id", "_text", "base", F.when(F.size("_s3") > 0, free).otherwise(F.col("_s3")).alias("extra"))
 
 

@@ -57,6 +57,17 @@ def test_random_strings_beside_words(spark):
     assert plain.where("size(extra) > 0").count() == 0
 
 
+def test_random_rest_beside_base_spans(spark):
+    model = secrets.train(secrets.labelled_samples(spark))
+    a, b = "x8Kq2LmZ0pRtY7vWc3Nb5HsDq9TjU4eGfB6oXw1Z", "AKIA" + "Q1Z7" * 4
+    texts = [f"see {b}/{a} there", f"see {a}/{RANDOM[:32]}/{a} there", f"user_token={a} there"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in secrets.scan(docs, model).collect()}
+    assert [x["value"] for x in found[0]["extra"]] == ["/" + a] and [x["value"] for x in found[1]["extra"]] == [a + "/", "/" + a]
+    assert all([(x["start"], x["kind"], x["end"]) for x in found[i]["base"]] == base(t) for i, t in enumerate(texts)) and found[2]["extra"] == []
+    assert {r["text"] for r in secrets.redact(docs.where("doc_id = 0"), model).collect()} == {"see [SECRET][SECRET] there"}
+
+
 def test_redact_keeps_rows_and_columns(spark, hard):
     model = secrets.train(secrets.labelled_samples(spark, 500))
     docs = spark.createDataFrame(SECRETS, "doc_id long, text string").selectExpr("*", "length(text) n_chars", "'k' base")
