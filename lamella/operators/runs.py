@@ -10,6 +10,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..model import BLOCK_HEADER, BLOCK_SIZE, ITEM_HEADER, ITEM_SLOT, LARGEST_ITEM
+from ..sources.shared import materialize
+from .reads import locate
+from .resolve import latest
 
 
 def run_stats(log: DataFrame, run: str) -> DataFrame:
@@ -38,9 +41,43 @@ def is_disjoint(stats: DataFrame) -> DataFrame:
     return stats.withColumn("_before", before).agg(F.coalesce(F.bool_and(F.col("_before").isNull() | (F.col("_before") < F.col("first_key"))), F.lit(True)).alias("disjoint"))
 
 
+def disjoint_levels(stats: DataFrame) -> DataFrame:
+    """(level, disjoint): for each level whether its runs, sorted by first key, don't meet."""
+    order = W.partitionBy("level").orderBy("first_key", "last_key").rowsBetween(W.unboundedPreceding, -1)
+    apart = F.col("_before").isNull() | (F.col("_before") < F.col("first_key"))
+    return stats.withColumn("_before", F.max("last_key").over(order)).groupBy("level").agg(F.bool_and(apart).alias("disjoint"))
+
+
 def pick_for_key(stats: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, run_id) for each run of a sorted level that may hold a key wanted."""
-    return wanted.join(stats, (F.col("key") >= F.col("first_key")) & (F.col("key") <= F.col("last_key"))).select("key", "run_id")
+    """(key, run_id) for each run that may hold a key wanted, whatever the runs' ranges.
+
+    The ranges' ends cut the keys into segments with the same runs all over, at most twice as many as runs; a key is
+    located in its segment by a range join, then meets that segment's runs by number.
+    """
+    edge = lambda c, side: F.struct(F.col(c).alias("k"), F.lit(side).alias("side"))
+    # a segment begins at each first key, and right behind each last key; a key wanted stands between the two
+    cuts = stats.select(edge("first_key", 0).alias("first_key")).unionAll(stats.select(edge("last_key", 2))).distinct()
+    cuts = materialize(cuts.withColumn("block", F.row_number().over(W.orderBy("first_key"))), "segments")
+    number = lambda at, name: cuts.select(F.col("first_key").alias(at), F.col("block").alias(name))
+    spans = stats.select("run_id", edge("first_key", 0).alias("_a"), edge("last_key", 2).alias("_b")).join(number("_a", "_from"), "_a").join(number("_b", "_to"), "_b")
+    covered = spans.select("run_id", F.explode(F.sequence(F.col("_from"), F.col("_to") - 1)).alias("block"))
+    return locate(wanted.select(edge("key", 1).alias("key")), cuts).join(covered, "block").select(F.col("key.k").alias("key"), "run_id")
+
+
+def pick_in_level(level: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, run_id) for the run of a level with disjoint runs that may hold each key: located by first keys."""
+    index = level.select(F.col("run_id").alias("block"), "first_key")
+    found = locate(wanted, index).where("block is not null")
+    return found.join(level.select(F.col("run_id").alias("block"), "last_key"), "block").where("key <= last_key").select("key", F.col("block").alias("run_id"))
+
+
+def merge(log: DataFrame, drop_tombstones: bool = False) -> DataFrame:
+    """What a merge of runs writes: the latest mutation of each key.
+
+    Tombstones stay, unless the runs merged are all that may hold their keys.
+    """
+    rows = latest(log)
+    return rows.where(~F.col("deleted")) if drop_tombstones else rows
 
 
 def next_run_ids(stats: DataFrame) -> DataFrame:

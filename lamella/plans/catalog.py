@@ -31,7 +31,10 @@ LOG = f"""{MUTATIONS}, ops as (
  placed as (select *, cast(coalesce(sum(size) over (order by ord rows between unbounded preceding and 1 preceding), 0) as bigint) as pos from sized),
  wal as (select *, case when op = 'commit' then last_value(case when op in ('put', 'del') then pos end ignore nulls) over (order by pos rows between unbounded preceding and 1 preceding) end as committed_upto from placed),
  mark as (select coalesce(arg_max(committed_upto, pos), 0) as committed from wal where op = 'commit')"""
-STATS = f"""{MUTATIONS}, meta as (select src // 2 + 1 as level, src as run_id, count(*) as n_items, min(key) as first_key, max(key) as last_key from ml where seq % 97 = src * 11 group by src)"""
+STATS = f"""{MUTATIONS}, meta as (select src // 2 + 1 as level, src as run_id, count(*) as n_items, min(key) as first_key, max(key) as last_key from ml group by src)"""
+#: All mutations as runs of key ranges: level 1 has two fifths of them, a run for each first digit; the rest is below, by two digits a run.
+RANGES = f"""{MUTATIONS}, meta as (select level, run_id, count(*) as n_items, min(key) as first_key, max(key) as last_key from
+ (select key, case when src < 2 then 1 when key < '5' then 2 else 3 end as level, cast(ascii(key) - 48 as integer) // case when src < 2 then 1 else 2 end as run_id from ml) group by level, run_id)"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,9 +68,15 @@ def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statistics of five runs, with levels 1 to 3."""
-    ml = mutations(spark, sf_dir).where("seq % 97 = src * 11")
-    return runs.run_stats(ml, "src").select((F.floor(F.col("src") / 2) + 1).cast("int").alias("level"), F.col("src").alias("run_id"), "n_items", "first_key", "last_key")
+    """Statistics of the five runs of all mutations, with levels 1 to 3; each run has keys from everywhere."""
+    return runs.run_stats(mutations(spark, sf_dir), "src").select((F.floor(F.col("src") / 2) + 1).cast("int").alias("level"), F.col("src").alias("run_id"), "n_items", "first_key", "last_key")
+
+
+def range_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of all mutations as runs of key ranges: disjoint within a level; level 1 lies partly over level 2."""
+    digit, upper = F.ascii("key") - 48, F.col("src") < 2
+    ml = mutations(spark, sf_dir).withColumn("level", F.when(upper, 1).when(F.col("key") < "5", 2).otherwise(3)).withColumn("run_id", F.floor(digit / F.when(upper, 1).otherwise(2)).cast("int"))
+    return ml.groupBy("level", "run_id").agg(F.count(F.lit(1)).alias("n_items"), F.min("key").alias("first_key"), F.max("key").alias("last_key"))
 
 
 def query(sql: str | None = None):
@@ -191,9 +200,9 @@ def kv_scan_bucketed(spark, sf_dir):
 # Lookups
 
 
-@query(f"with {LATEST} select key, value, seq from lv where not deleted and key = '17:click'")
+@query(f"with {LATEST} select key, value, seq from lv where not deleted and key = '7:purchase'")
 def kv_point_get(spark, sf_dir):
-    return reads.get(mutations(spark, sf_dir), "17:click").select("key", "value", "seq")
+    return reads.get(mutations(spark, sf_dir), "7:purchase").select("key", "value", "seq")
 
 
 def _wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,8 +310,7 @@ def wal_end(spark, sf_dir):
 @query(f"with {LOG} select pos, key, value from wal where op in ('put', 'del') and pos = 0 + (select pos from wal where ord = 41)")
 def wal_value_at(spark, sf_dir):
     ops = operations(spark, sf_dir)
-    at = ops.where("ord = 41").select(F.col("pos").alias("at"))
-    return ops.where(wal.IS_ENTRY).join(F.broadcast(at.limit(1)), F.col("pos") == F.col("at")).select("pos", "key", "value")
+    return wal.value_at(ops, ops.where("ord = 41").first()["pos"])
 
 
 @query(f"with {LOG} select cast(ord // 4 % 5 as integer) as src, max(pos) as committed_upto from wal where op in ('put', 'del') group by 1")
@@ -330,9 +338,15 @@ def run_disjoint_check(spark, sf_dir):
     return runs.is_disjoint(run_table(spark, sf_dir))
 
 
-@query(f"""with {STATS} select run_id from meta x where level = 1 and not exists (select 1 from meta y where y.level = 2 and x.first_key <= y.last_key and y.first_key <= x.last_key)""")
+@query(f"with {RANGES} select level, bool_and(before is null or before < first_key) as disjoint from (select *, max(last_key) over (partition by level order by first_key, last_key rows between unbounded preceding and 1 preceding) as before from meta) group by level")
+def run_disjoint_levels(spark, sf_dir):
+    """Levels of key ranges, each of which is disjoint."""
+    return runs.disjoint_levels(range_table(spark, sf_dir))
+
+
+@query(f"""with {RANGES} select run_id from meta x where level = 1 and not exists (select 1 from meta y where y.level = 2 and x.first_key <= y.last_key and y.first_key <= x.last_key)""")
 def run_no_overlap(spark, sf_dir):
-    stats = run_table(spark, sf_dir)
+    stats = range_table(spark, sf_dir)
     return runs.without_overlap(stats.where("level = 1"), stats.where("level = 2")).select("run_id")
 
 
@@ -346,6 +360,12 @@ def run_for_key(spark, sf_dir):
     return runs.pick_for_key(run_table(spark, sf_dir), _wanted(spark, sf_dir))
 
 
+@query(f"with {RANGES}, {WANTED} select w.key, m.run_id from wanted w join meta m on m.level = 1 and w.key between m.first_key and m.last_key")
+def run_for_key_sorted(spark, sf_dir):
+    """The one run of a sorted level that may hold each key wanted: a range join without a cross product."""
+    return runs.pick_in_level(range_table(spark, sf_dir).where("level = 1"), _wanted(spark, sf_dir))
+
+
 @query(f"with {MUTATIONS} select key, value, deleted, seq, src from (select *, row_number() over (partition by key order by src, seq desc) as rn from ml) where rn = 1")
 def kway_merge(spark, sf_dir):
     return resolve.merge_by_priority(mutations(spark, sf_dir), "src").select("key", "value", "deleted", "seq", "src")
@@ -354,14 +374,13 @@ def kway_merge(spark, sf_dir):
 @query(f"with {MUTATIONS} select key, value, deleted, seq from (select *, row_number() over (partition by key order by seq desc) as rn from ml where src in (0, 1, 2)) where rn = 1")
 def compaction_result(spark, sf_dir):
     ml = mutations(spark, sf_dir)
-    return resolve.latest(ml.where("src in (0, 1, 2)")).select("key", "value", "deleted", "seq")
+    return runs.merge(ml.where("src in (0, 1, 2)")).select("key", "value", "deleted", "seq")
 
 
 @query(f"with {LATEST} select key, value, seq from lv where not deleted")
 def compaction_drop_tombstones(spark, sf_dir):
     """A merge of all runs that hold a key may drop its tombstone."""
-    merged = resolve.latest(mutations(spark, sf_dir))
-    return merged.where(~F.col("deleted")).select("key", "value", "seq")
+    return runs.merge(mutations(spark, sf_dir), drop_tombstones=True).select("key", "value", "seq")
 
 
 def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -375,7 +394,7 @@ LEVELS = """lv as (select cast(ascii(o_orderpriority) - 48 as integer) as level,
 
 
 def _capacities(spark: SparkSession) -> DataFrame:
-    return spark.range(1, 6).select(F.col("id").cast("int").alias("level"), F.when(F.col("id") == 1, 6).otherwise(F.ceil(2 * F.pow(F.lit(4), F.col("id") - 2)).cast("int")).alias("capacity"))
+    return spark.createDataFrame([(level, model.level_capacity(level)) for level in range(1, 6)], "level int, capacity int")
 
 
 @query(f"with {LEVELS} select level, capacity from caps")
@@ -429,10 +448,10 @@ def block_pack(spark, sf_dir):
     return runs.pack_blocks(mutations(spark, sf_dir), "src")
 
 
-@query(f"""with idx as (select min(o_orderkey) as first_key, o_orderkey // 1000 as block from orders where o_orderkey % 2 = 0 group by 2)
+@query(f"""with idx as (select min(o_orderkey) as first_key, o_orderkey // 1000 as block from orders group by 2)
  select l_orderkey as key, (select max(block) from idx where first_key <= l_orderkey) as block from (select distinct l_orderkey from lineitem)""")
 def block_locate(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0")
+    o = table(spark, sf_dir, "orders")
     index = o.groupBy(F.floor(F.col("o_orderkey") / 1000).alias("block")).agg(F.min("o_orderkey").alias("first_key"))
     return reads.locate(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key")).distinct(), index)
 
