@@ -1,25 +1,28 @@
 """Suffix-array dedup: removes bytes covered by a 50-byte string that also starts in a document with a smaller id.
 
-1. Anchors. Each 50-byte string has an anchor: the least hash of its 20-byte substrings. Equal strings have equal
-   anchors. Neighbouring strings with one anchor are a run, its text a context (at most 80 bytes). Documents are reduced
-   to their runs (about one in 17 bytes), packed, and meet by anchor: a context that a smaller document has, too, is
-   settled as a whole; an anchor with different contexts leaves them open; all others are done.
-2. Contexts. The open contexts are cut from the texts and meet by anchor. Those of an anchor that very many documents
-   have are cut into single strings, which meet by their own hash, so no anchor makes an unbounded group.
-3. Suffix arrays. Contexts that meet are sorted in blocks of about 300 kB by two-stage suffix sorting; neighbours
-   with a common prefix of 50 bytes are one string, and its smallest id decides.
-4. Spans are merged by document and cut from the text.
-
-Within a batch, equal contexts are settled at once, so frequent ones cost one entry a batch. Anchors meet by 32 bits
-within a bucket, which can only open more contexts; contexts are equal by 48-bit hashes within an anchor. Texts are
-compressed for the two shuffles that join them with what was found.
+1. Batches. Texts are cut into pieces that overlap by 49 bytes, so that each 50-byte string starts in one piece, and packed
+   into compressed batches of bounded size, whatever the length of a text.
+2. Anchors. Each 50-byte string has an anchor: the least hash of its 20-byte substrings. Equal strings have equal
+   anchors. Neighbouring strings with one anchor are a run, its text a context (at most 80 bytes). Each batch asks about
+   its distinct anchors, with how many runs they have and whether in several documents; the answer names those that
+   another document has, too. Strings with other anchors are found nowhere else.
+3. Contexts of such anchors are cut from the batches and meet by anchor, in blocks of about 300 kB. Those of an anchor
+   that FREQUENT runs have are cut into single strings; equal ones of a batch become one entry of its smallest document,
+   and they meet by their own hash, first within groups of SALT batches, then what is left of each group: nothing makes
+   an unbounded group.
+4. Suffix arrays. Each block is sorted by two-stage suffix sorting; neighbours with a common prefix of 50 bytes are one
+   string, and its smallest id decides.
+5. Spans are merged by document and cut from the text.
+
+Hashes only bring candidates together, anchors by 32 bits within a bucket; what is removed is decided by comparing bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
+from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -27,23 +30,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import materialize, read
+from .common import discard, materialize, read
 from .shingles import BYTE, mix, powers
 
 LENGTH = 50
 ANCHOR = 20
-#: Open contexts of an anchor from which on they are cut into single strings.
+#: Runs of an anchor from which on their contexts are cut into single strings (less than 2 ** 15).
 FREQUENT = 20_000
 #: Anchors, and bytes of contexts, that one block holds about.
-BLOCK_ANCHORS, BLOCK_BYTES = 150_000, 300_000
-#: Bytes of text within which equal contexts are settled before any shuffle.
-BATCH_BYTES = 6_000_000
-#: What becomes of a run, above the 48 bits of its context's hash.
-SETTLED, OPEN, OPEN_FREQUENT = (k << 48 for k in (0, 1, 2))
-_LOW = np.uint64((1 << 48) - 1)
+BLOCK_ANCHORS, BLOCK_BYTES = 400_000, 300_000
+#: Bytes of text in a batch, and strings that start in a piece, at most.
+BATCH_BYTES, PIECE = 2_000_000, 500_000
+#: Batches whose frequent strings meet first.
+SALT = 1024
+#: An anchor's entry of a batch: the number of its runs below, whether several documents have it above.
+_MOST, _SEVERAL = (1 << 15) - 1, 1 << 15
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-# case counts here
+# case counts here, unlike in shingles
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * BYTE[ord("z")])
 
 
@@ -71,13 +75,13 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:-rest], x[rest:]) if rest else x
 
 
-def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All texts as one array; of each run its text, the first and last start of its strings, its anchor, its context's hash."""
+def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each run of all texts its text, the first and last start of its strings in the joined texts, and its anchor."""
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     if len(data) < LENGTH:
         none = np.zeros(0, dtype=np.int64)
-        return data, none, np.zeros((0, 2), dtype=np.int64), none.astype(np.uint64), none
+        return none, np.zeros((0, 2), dtype=np.int64), none.astype(np.uint64)
     hashes = Hashes(data)
     width = LENGTH - ANCHOR + 1
     least = sliding_least(hashes.all_of(ANCHOR), width)
@@ -93,8 +97,7 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     ends = there.copy()
     ends[:-1] &= new[1:] | ~there[1:]
     first, last = np.flatnonzero(new), np.flatnonzero(ends)
-    context = (hashes(first, last + LENGTH) & _LOW).astype(np.int64)
-    return data, text[first], np.stack([first, last], axis=1), least[first], context
+    return text[first], np.stack([first, last], axis=1), least[first]
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -105,17 +108,6 @@ def _unpack(x: bytes) -> np.ndarray:
     return np.frombuffer(x, dtype="<i8")
 
 
-def _narrow(x: np.ndarray, n: int) -> bytes:
-    """The low n bytes of each integer."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n]).tobytes()
-
-
-def _widen(x: bytes, n: int) -> np.ndarray:
-    wide = np.zeros((len(x) // n, 8), dtype=np.uint8)
-    wide[:, :n] = np.frombuffer(x, dtype=np.uint8).reshape(-1, n)
-    return wide.view("<i8").ravel()
-
-
 def suffix_order(data: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Starts of all suffixes, ordered by their first 56 bytes at least, by two-stage sorting.
 
@@ -204,31 +196,36 @@ def common_prefix(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray
     return length
 
 
-def repeated(docs: np.ndarray, starts: np.ndarray, sizes: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans (document, first byte, end) of contexts that a string of a smaller document covers.
+def smaller_elsewhere(docs: np.ndarray, sizes: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte of data whether a string starts there that a smaller document has, too; and the byte's context.
 
-    Context i is sizes[i] bytes of document docs[i] from starts[i] on; data holds all contexts one after the other.
+    Context i is sizes[i] bytes of document docs[i]; data holds all contexts one after the other.
     """
+    context = np.repeat(np.arange(len(sizes)), sizes)
+    gone = np.zeros(len(data), dtype=bool)
+    if not len(data):
+        return gone, context
     words = eight_bytes(data)
     order = suffix_order(data, words)
-    context = np.repeat(np.arange(len(sizes)), sizes)
     inside = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    valid = inside + LENGTH <= sizes[context]
-    order = order[valid[order]]
-    none = np.zeros(0, dtype=np.int64)
-    if not len(order):
-        return none, none, none
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = common_prefix(words, order[1:], order[:-1]) < LENGTH
-    least = np.minimum.reduceat(docs[context[order]], np.flatnonzero(new))[np.cumsum(new) - 1]
-    gone = np.zeros(len(data) + 1, dtype=bool)
-    gone[order] = least < docs[context[order]]
+    order = order[(inside + LENGTH <= sizes[context])[order]]
+    if len(order):
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = common_prefix(words, order[1:], order[:-1]) < LENGTH
+        own = docs[context[order]]
+        gone[order] = np.minimum.reduceat(own, np.flatnonzero(new))[np.cumsum(new) - 1] < own
+    return gone, context
+
+
+def repeated(docs: np.ndarray, starts: np.ndarray, sizes: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans (document, first byte, end) of contexts, which start at starts, that a string of a smaller document covers."""
+    gone, context = smaller_elsewhere(docs, sizes, data)
     return _spans(gone, context, docs, starts + sizes - np.cumsum(sizes))
 
 
 def _spans(gone: np.ndarray, context: np.ndarray, docs: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of marked starts of strings, within a context, as spans of bytes of its document."""
-    place = np.flatnonzero(gone[:-1])
+    place = np.flatnonzero(gone)
     if not len(place):
         return place, place, place
     cut = np.ones(len(place), dtype=bool)
@@ -252,126 +249,198 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield rows
 
 
-def _ask(n_buckets: int):
-    """Of BATCH_BYTES of texts: the distinct contexts, each by its smallest document, by anchor; and the runs settled by that."""
-    schema = pa.schema([("bucket", pa.int64()), ("docs", pa.binary()), ("anchors", pa.binary()), ("contexts", pa.binary())])
-
-    def settle(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        doc, h, c = (np.concatenate(x) for x in zip(*parts, strict=True))
-        by = np.lexsort((doc, c, h))
-        doc, h, c = doc[by], h[by], c[by]
-        first = np.ones(len(h), dtype=bool)
-        first[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
-        least = doc[first][np.cumsum(first) - 1]
-        rows = [{"bucket": k, "docs": d, "anchors": x, "contexts": y} for k, d, x, y in _by_bucket(h[first], doc[first], c[first], n_buckets)]
-        done = ~first & (doc > least)
-        rows += [{"bucket": k, "docs": d, "anchors": None, "contexts": y} for k, d, _, y in _by_bucket(h[done], doc[done], c[done], n_buckets)]
-        return pa.RecordBatch.from_pylist(rows, schema)
+def pieces(docs: DataFrame) -> DataFrame:
+    """(batch, docs, offsets, sizes, n_bytes, packed): docs (doc_id, text) in compressed batches; short texts are left out.
+
+    A piece is offsets[i] bytes into the text of docs[i], and ends 49 bytes behind its last start of a string.
+    """
+    schema = pa.schema([("batch", pa.int64()), ("docs", pa.binary()), ("offsets", pa.binary()), ("sizes", pa.binary()), ("n_bytes", pa.int64()), ("packed", pa.binary())])
+
+    def row(number: int, ids: list[int], offsets: list[int], parts: list[bytes]) -> pa.RecordBatch:
+        whole = b"".join(parts)
+        columns = [[number], [_pack(np.array(ids))], [_pack(np.array(offsets))], [_pack(np.array([len(x) for x in parts]))], [len(whole)], [pa.Codec("zstd").compress(whole, asbytes=True)]]
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size = [], 0
+        number, size, ids, offsets, parts = 0, 0, [], [], []
         for b in batches:
-            for part in slices(b, limit=1_000_000):
-                ids = np.array(part.column(0).to_pylist(), dtype=np.int64)
-                data, text, _, h, c = anchors([(t or "").encode() for t in part.column(1).to_pylist()])
-                parts.append((ids[text], h, c))
-                size += len(data)
-                if size >= BATCH_BYTES:
-                    yield settle(parts)
-                    parts, size = [], 0
+            for part in slices(b, limit=4_000_000):
+                for doc, text, task in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
+                    raw = (text or "").encode()
+                    for at in range(0, len(raw) - LENGTH + 1, PIECE):
+                        parts.append(raw[at : at + PIECE + LENGTH - 1])
+                        ids.append(doc)
+                        offsets.append(at)
+                        size += len(parts[-1])
+                        if size >= BATCH_BYTES:
+                            yield row((task << 31) + number, ids, offsets, parts)
+                            number, size, ids, offsets, parts = number + 1, 0, [], [], []
         if parts:
-            yield settle(parts)
+            yield row((task << 31) + number, ids, offsets, parts)
 
-    return run
+    rows = docs.select("doc_id", "text", F.spark_partition_id().alias("task"))
+    return rows.mapInArrow(run, "batch long, docs binary, offsets binary, sizes binary, n_bytes long, packed binary")
 
 
-def _by_bucket(h: np.ndarray, doc: np.ndarray, c: np.ndarray, n_buckets: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
-    """Packed by bucket, documents ascending, as differences."""
-    bucket = ((h >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64)
-    by = np.lexsort((doc, bucket))
-    edges = np.flatnonzero(np.diff(bucket[by], prepend=-1))
-    for part in np.split(by, edges[1:]) if len(by) else []:
-        yield int(bucket[part[0]]), _pack(np.diff(doc[part], prepend=0)), _narrow(h[part], 4), _narrow(c[part], 6)
+def _open(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A batch's bytes, and of each run of its pieces the document, the shift from the bytes to the text, the places and the anchor."""
+    whole = pa.Codec("zstd").decompress(r["packed"], r["n_bytes"], asbytes=True)
+    sizes = _unpack(r["sizes"])
+    begin = np.cumsum(sizes) - sizes
+    piece, place, h = [], [], []
+    group = begin // PIECE
+    for own in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(group)) + 1):
+        t, p, x = anchors([whole[begin[i] : begin[i] + sizes[i]] for i in own.tolist()])
+        piece.append(own[t])
+        place.append(p + begin[own[0]])
+        h.append(x)
+    piece, place, h = np.concatenate(piece), np.concatenate(place), np.concatenate(h)
+    return np.frombuffer(whole, dtype=np.uint8), _unpack(r["docs"])[piece], (_unpack(r["offsets"]) - begin)[piece], place[:, 0], place[:, 1], h
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, run): context hash with SETTLED, if a smaller document has the context, or OPEN, if its anchor has others."""
-    for rows in _groups(batches):
-        asked, told = [r for r in rows if r["anchors"] is not None], [r for r in rows if r["anchors"] is None]
-        doc, run = [np.cumsum(_unpack(r["docs"])) for r in told], [_widen(r["contexts"], 6) | SETTLED for r in told]
-        if asked:
-            h = np.concatenate([_widen(r["anchors"], 4) for r in asked])
-            c = np.concatenate([_widen(r["contexts"], 6) for r in asked])
-            d = np.concatenate([np.cumsum(_unpack(r["docs"])) for r in asked])
-            by = np.lexsort((d, c, h))
-            h, c, d = h[by], c[by], d[by]
-            new_anchor = np.concatenate([[True], h[1:] != h[:-1]])
-            new = new_anchor | np.concatenate([[True], c[1:] != c[:-1]])
-            n_contexts = np.add.reduceat(new, np.flatnonzero(new_anchor))[np.cumsum(new_anchor) - 1]
-            done = d > d[new][np.cumsum(new) - 1]
-            for rows_, kind in ((done, SETTLED), (new & (n_contexts > 1) & (n_contexts < FREQUENT), OPEN), (new & (n_contexts > 1) & (n_contexts >= FREQUENT), OPEN_FREQUENT)):
-                doc.append(d[rows_])
-                run.append(c[rows_] | kind)
-        none = np.zeros(0, dtype=np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *doc])), pa.array(np.concatenate([none, *run]))], names=["doc_id", "run"])
+def _keys(h: np.ndarray, n_buckets: int) -> np.ndarray:
+    """What tells anchors apart: the bucket, and 32 bits within it."""
+    return ((h >> np.uint64(32)) % np.uint64(n_buckets) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
 
 
-def squeeze(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) with the text's bytes compressed, for a shuffle."""
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for b in batches:
+        for i in range(b.num_rows):
+            yield b.slice(i, 1).to_pylist()[0]
+
+
+def _ask(n_buckets: int):
+    """The distinct anchors of each batch, by bucket, with their entries."""
+    schema = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("anchors", pa.binary()), ("entries", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in slices(b):
-                packed = [zlib.compress((t or "").encode(), 1) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
+        for r in _rows(batches):
+            _, doc, _, _, _, h = _open(r)
+            key = _keys(h, n_buckets)
+            by = np.argsort(key, kind="stable")
+            key, doc = key[by], doc[by]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+            if not len(first):
+                continue
+            several = np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first)
+            entry = np.minimum(np.diff(np.append(first, len(key))), _MOST) + several * _SEVERAL
+            key = key[first]
+            bucket = (key >> np.uint64(32)).astype(np.int64)
+            edges = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(key)).tolist()
+            out = [{"bucket": int(bucket[a]), "batch": r["batch"], "anchors": key[a:b].astype("<u4").tobytes(), "entries": entry[a:b].astype("<u2").tobytes()} for a, b in pairwise(edges)]
+            yield pa.RecordBatch.from_pylist(out, schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, packed binary")
+    return run
 
 
-def _cut_contexts(n_buckets: int):
-    """Of each document: open contexts, packed by bucket, and settled runs as spans."""
-    schema = pa.schema([("bucket", pa.int64()), ("docs", pa.binary()), ("starts", pa.binary()), ("sizes", pa.binary()), ("data", pa.binary()), ("spans", pa.binary())])
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each batch and bucket the anchors that another document has, too, and whether they are frequent; and how many runs of both kinds."""
+    schema = pa.schema([("batch", pa.int64()), ("bucket", pa.int64()), ("anchors", pa.binary()), ("frequent", pa.binary()), ("n_open", pa.int64()), ("n_frequent", pa.int64())])
+    for rows in _groups(batches):
+        anchor = np.concatenate([np.frombuffer(r["anchors"], dtype="<u4") for r in rows])
+        entry = np.concatenate([np.frombuffer(r["entries"], dtype="<u2") for r in rows]).astype(np.int64)
+        of = np.repeat(np.arange(len(rows)), [len(r["entries"]) // 2 for r in rows])
+        by = np.argsort(anchor, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], anchor[by[1:]] != anchor[by[:-1]]]))
+        n = np.diff(np.append(first, len(by)))
+        shared = np.empty(len(by), dtype=bool)
+        shared[by] = np.repeat((n > 1) | (np.maximum.reduceat(entry[by], first) >= _SEVERAL), n)
+        runs = entry & _MOST
+        frequent = np.empty(len(by), dtype=bool)
+        frequent[by] = np.repeat(np.add.reduceat(runs[by], first) >= FREQUENT, n)
+        out = []
+        at = np.flatnonzero(shared)
+        for part in np.split(at, np.flatnonzero(np.diff(of[at])) + 1) if len(at) else []:
+            r, often = rows[of[part[0]]], frequent[part]
+            out.append({"batch": r["batch"], "bucket": r["bucket"], "anchors": anchor[part].tobytes(), "frequent": often.astype(np.uint8).tobytes(), "n_open": int(runs[part][~often].sum()), "n_frequent": int(runs[part][often].sum())})
+        yield pa.RecordBatch.from_pylist(out, schema)
+
+
+def _cut_contexts(n_buckets: int, n_blocks: int, n_salts: int):
+    """The contexts of each batch's shared anchors, packed by the block in which they meet; and spans of frequent strings
+    that a smaller document of the batch has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in slices(b, limit=800_000):
-                ids = np.array(part.column(0).to_pylist(), dtype=np.int64)
-                texts = [zlib.decompress(t) for t in part.column(1).to_pylist()]
-                data, text, place, h, c = anchors(texts)
-                begin = np.cumsum([0, *map(len, texts)])
-                told = [np.array(x, dtype=np.int64) for x in part.column(2).to_pylist()]
-                # runs of one document are told apart from others' by its number
-                salt = mix(np.arange(len(texts), dtype=np.uint64) + np.uint64(1))
-                own = (c.astype(np.uint64) ^ salt[text]) if len(c) else c.astype(np.uint64)
-                every = np.concatenate([np.zeros(0, dtype=np.int64), *told])
-                kind, key = every >> 48 << 48, (every & int(_LOW)).astype(np.uint64) ^ np.repeat(salt, [len(x) for x in told])
-                settled = np.isin(own, key[kind == SETTLED])
-                gone = np.zeros(len(data) + 1, dtype=np.int32)
-                np.add.at(gone, place[settled, 0], 1)
-                np.add.at(gone, place[settled, 1] + 1, -1)
-                of = np.repeat(np.arange(len(texts)), np.diff(begin))
-                spans = _spans(np.cumsum(gone) > 0, of, ids, -begin[:-1])
-                rows = np.flatnonzero(np.isin(own, key[kind == OPEN]) & ~settled)
-                first, size, doc_at, meet = place[rows, 0], place[rows, 1] - place[rows, 0] + LENGTH, text[rows], h[rows]
-                rows = np.flatnonzero(np.isin(own, key[kind == OPEN_FREQUENT]) & ~settled)
-                if len(rows):
-                    n = place[rows, 1] - place[rows, 0] + 1
-                    single = np.repeat(place[rows, 0] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-                    first = np.concatenate([first, single])
-                    size = np.concatenate([size, np.full(len(single), LENGTH)])
-                    doc_at = np.concatenate([doc_at, np.repeat(text[rows], n)])
-                    meet = np.concatenate([meet, Hashes(data)(single, single + LENGTH)])
-                out = _by_block(data, first, size, ids[doc_at], first - begin[doc_at], meet, n_buckets)
-                if len(spans[0]):
-                    out.append({"bucket": int(spans[0][0]) % n_buckets, "spans": _pack(np.stack(spans, axis=1))})
-                yield pa.RecordBatch.from_pylist(out, schema)
+        for r in _rows(batches):
+            data, doc, shift, first, last, h = _open(r)
+            asked = np.concatenate([np.frombuffer(x["anchors"], dtype="<u4").astype(np.uint64) | np.uint64(x["bucket"] << 32) for x in r["answers"]])
+            often = np.concatenate([np.frombuffer(x["frequent"], dtype=np.uint8) for x in r["answers"]])
+            by = np.argsort(asked)
+            asked, often = asked[by], often[by]
+            key = _keys(h, n_buckets)
+            at = np.minimum(np.searchsorted(asked, key), len(asked) - 1)
+            shared = asked[at] == key
+            rows = np.flatnonzero(shared & (often[at] == 0))
+            out = _by_block(data, first[rows], last[rows] - first[rows] + LENGTH, doc[rows], first[rows] + shift[rows], (h[rows] % np.uint64(n_blocks)).astype(np.int64))
+            rows = np.flatnonzero(shared & (often[at] == 1))
+            if len(rows):
+                n = last[rows] - first[rows] + 1
+                single = np.repeat(first[rows] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+                own, start = np.repeat(doc[rows], n), single + np.repeat(shift[rows], n)
+                hashed = Hashes(data)(single, single + LENGTH)
+                salt = int(mix(np.array([r["batch"]], dtype=np.uint64))[0] % np.uint64(n_salts))
+                meet = -1 - ((hashed % np.uint64(n_blocks)).astype(np.int64) * n_salts + salt)
+                for part in _parts(hashed, 50_000):
+                    text = np.ascontiguousarray(data[single[part][:, None] + np.arange(LENGTH)])
+                    spans, entries = _equal_strings(text, own[part], start[part])
+                    out += _by_hash(text.tobytes(), entries, meet[part])
+                    if len(spans):
+                        out.append({"bucket": r["batch"] % n_blocks, "spans": _pack(spans)})
+            yield pa.RecordBatch.from_pylist(out, _CONTEXTS)
 
     return run
 
 
-def _by_block(data: np.ndarray, first: np.ndarray, size: np.ndarray, doc: np.ndarray, start: np.ndarray, meet: np.ndarray, n_buckets: int) -> list[dict]:
+_CONTEXTS = pa.schema([("bucket", pa.int64()), ("docs", pa.binary()), ("starts", pa.binary()), ("sizes", pa.binary()), ("data", pa.binary()), ("spans", pa.binary())])
+_CONTEXTS_SQL = "bucket long, docs binary, starts binary, sizes binary, data binary, spans binary"
+
+
+def _merged(doc: np.ndarray, start: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, first byte, end) of strings whose starts ascend within a group, those that overlap or touch as one; and
+    which string opens each."""
+    cut = np.flatnonzero(np.concatenate([[True], (np.diff(start) > LENGTH) | (np.diff(doc) != 0) | (np.diff(group) != 0)])[: len(start)])
+    ends = np.append(cut[1:] - 1, len(start) - 1)[: len(cut)]
+    return np.stack([doc[cut], start[cut], start[ends] + LENGTH], axis=1), cut
+
+
+def _equal_strings(text: np.ndarray, docs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Strings (rows of LENGTH bytes), compared as a whole: spans (document, first byte, end) of those that a smaller
+    document has; and an entry for each different string with the spans of its smallest document.
+
+    Entries: at (a row that is the string), docs, counts (of spans) and spans (first byte, end).
+    """
+    string = np.unique(text.view(f"V{LENGTH}").ravel(), return_inverse=True)[1].ravel()
+    by = np.lexsort((starts, docs, string))
+    string, docs, starts = string[by], docs[by], starts[by]
+    new = np.flatnonzero(np.concatenate([[True], np.diff(string) != 0]))
+    least = docs == docs[new][string]
+    spans, _ = _merged(docs[~least], starts[~least], string[~least])
+    own, opens = _merged(docs[least], starts[least], string[least])
+    return spans, {"at": by[new], "docs": docs[new], "counts": np.bincount(string[least][opens], minlength=len(new)), "spans": own[:, 1:]}
+
+
+def _by_hash(data: bytes, entries: dict[str, np.ndarray], bucket: np.ndarray) -> list[dict]:
+    """Entries of single strings packed by the bucket in which they meet."""
+    text = np.frombuffer(data, dtype=np.uint8).reshape(-1, LENGTH)[entries["at"]]
+    bucket, counts = bucket[entries["at"]], entries["counts"]
+    by = np.argsort(bucket, kind="stable")
+    begin, out = np.cumsum(counts) - counts, []
+    for part in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1) if len(by) else []:
+        n = counts[part]
+        index = np.repeat(begin[part] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        out.append({"bucket": int(bucket[part[0]]), "docs": _pack(entries["docs"][part]), "starts": _pack(entries["spans"][index]), "sizes": _pack(n), "data": text[part].tobytes()})
+    return out
+
+
+def _parts(hashed: np.ndarray, size: int) -> list[np.ndarray]:
+    """All entries in parts of about size, equal hashes together."""
+    part = (hashed >> np.uint64(40)) % np.uint64(-(-len(hashed) // size))
+    by = np.argsort(part, kind="stable")
+    return np.split(by, np.flatnonzero(np.diff(part[by])) + 1)
+
+
+def _by_block(data: np.ndarray, first: np.ndarray, size: np.ndarray, doc: np.ndarray, start: np.ndarray, bucket: np.ndarray) -> list[dict]:
     """Contexts packed by the bucket in which they meet."""
-    bucket = (meet % np.uint64(n_buckets)).astype(np.int64)
     by = np.argsort(bucket, kind="stable")
     out = []
     for part in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1) if len(by) else []:
@@ -381,29 +450,88 @@ def _by_block(data: np.ndarray, first: np.ndarray, size: np.ndarray, doc: np.nda
     return out
 
 
-def _sort_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, a, b): spans of bytes to remove, from the contexts of one bucket at a time."""
-    for rows in _groups(batches):
-        found = [_unpack(r["spans"]).reshape(-1, 3).T for r in rows if r["spans"] is not None]
-        own = [r for r in rows if r["docs"] is not None]
-        if own:
-            docs, starts, sizes = (np.concatenate([_unpack(r[c]) for r in own]) for c in ("docs", "starts", "sizes"))
-            found.append(np.stack(repeated(docs, starts, sizes, np.frombuffer(b"".join(r["data"] for r in own), dtype=np.uint8))))
-        spans = np.concatenate([np.zeros((3, 0), dtype=np.int64), *found], axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in spans], names=["doc_id", "a", "b"])
-
-
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, a, b) of docs (doc_id, text; no null ids): spans to remove, which may overlap or touch."""
-    n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+def _sort_blocks(n_salts: int):
+    """(doc_id, a, b): spans of bytes to remove, from what meets in one bucket at a time: contexts, or single strings.
+
+    Of single strings that met within groups of batches, those that no smaller document has there go on to meet those of
+    other groups (bucket, docs, starts, sizes, data).
+    """
+    names = ["doc_id", "a", "b", "bucket", "docs", "starts", "sizes", "data"]
+    kinds = [pa.int64()] * 4 + [pa.binary()] * 4
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches):
+            found = [_unpack(r["spans"]).reshape(-1, 3) for r in rows if r["spans"] is not None]
+            own, rest = [r for r in rows if r["docs"] is not None], []
+            if own:
+                docs, starts, sizes = (np.concatenate([_unpack(r[c]) for r in own]) for c in ("docs", "starts", "sizes"))
+                data, bucket = np.frombuffer(b"".join(r["data"] for r in own), dtype=np.uint8), own[0]["bucket"]
+                if bucket >= 0:
+                    found.append(np.stack(repeated(docs, starts, sizes, data), axis=1))
+                else:
+                    gone = smaller_elsewhere(docs, np.full(len(docs), LENGTH), data)[0][::LENGTH]
+                    spans, hit = starts.reshape(-1, 2), np.repeat(gone, sizes)
+                    found.append(np.column_stack([np.repeat(docs, sizes)[hit], spans[hit]]))
+                    if n_salts > 1:
+                        left = np.flatnonzero(~gone)
+                        entries = {"at": left, "docs": docs[left], "counts": sizes[left], "spans": spans[~hit]}
+                        rest = _by_hash(data.tobytes(), entries, np.full(len(docs), -1 - (-1 - bucket) // n_salts))
+            spans = np.concatenate([np.zeros((0, 3), dtype=np.int64), *found]).T
+            none = [None] * len(rest)
+            lists = [x.tolist() + none for x in spans] + [[None] * spans.shape[1] + [x[c] for x in rest] for c in names[3:]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(lists, kinds, strict=True)], names=names)
+
+    return run
+
+
+_FOUND_SQL = "doc_id long, a long, b long, bucket long, docs binary, starts binary, sizes binary, data binary"
+
+
+def repeated_spans(docs: DataFrame) -> list[DataFrame]:
+    """(doc_id, a, b) of docs (doc_id, text; no null ids), in several tables: spans to remove, which may overlap or touch."""
+    batches = materialize(pieces(docs), "batches")
+    n_bytes, n_batches = batches.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count(F.lit(1))).first()
     n_buckets = max(1, n_bytes // (17 * BLOCK_ANCHORS))
-    asked = docs.mapInArrow(_ask(n_buckets), "bucket long, docs binary, anchors binary, contexts binary")
-    told = materialize(asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answer, "doc_id long, run long"), "runs")
-    n_open = told.where(F.col("run") >= OPEN).count()
-    n_blocks = max(1, n_open * 67 // BLOCK_BYTES)
-    runs = told.groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
-    contexts = squeeze(docs).join(runs, "doc_id").select("doc_id", "packed", "runs").mapInArrow(_cut_contexts(n_blocks), "bucket long, docs binary, starts binary, sizes binary, data binary, spans binary")
-    return materialize(contexts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sort_blocks, "doc_id long, a long, b long"), "spans")
+    asked = batches.mapInArrow(_ask(n_buckets), "bucket long, batch long, anchors binary, entries binary")
+    answers = materialize(asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answer, "batch long, bucket long, anchors binary, frequent binary, n_open long, n_frequent long"), "answers")
+    n_open, n_frequent = answers.agg(F.coalesce(F.sum("n_open"), F.lit(0)), F.coalesce(F.sum("n_frequent"), F.lit(0))).first()
+    n_blocks, n_salts = max(1, (67 * n_open + 17 * LENGTH * n_frequent // 4) // BLOCK_BYTES), max(1, -(-n_batches // SALT))
+    own = answers.groupBy("batch").agg(F.collect_list(F.struct("bucket", "anchors", "frequent")).alias("answers"))
+    contexts = batches.join(own.hint("shuffle_hash"), "batch").mapInArrow(_cut_contexts(n_buckets, n_blocks, n_salts), _CONTEXTS_SQL)
+    found = materialize(contexts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sort_blocks(n_salts), _FOUND_SQL), "spans")
+    discard(batches)
+    discard(answers)
+    spans = [found.where("doc_id is not null").select("doc_id", "a", "b")]
+    if n_salts > 1:
+        rest = found.where("doc_id is null").select("bucket", "docs", "starts", "sizes", "data", F.lit(None).cast("binary").alias("spans"))
+        spans.append(materialize(rest.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sort_blocks(1), _FOUND_SQL), "spans").select("doc_id", "a", "b"))
+    return spans
+
+
+def squeeze(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) as (doc_id, n_bytes, packed), the text's bytes compressed, for a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd")
+        for b in batches:
+            for part in slices(b):
+                raw = [(t or "").encode() for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, raw), pa.int64()), pa.array([codec.compress(t, asbytes=True) for t in raw], pa.binary())], names=["doc_id", "n_bytes", "packed"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, packed binary")
+
+
+def without(raw: bytes, a: np.ndarray, b: np.ndarray) -> tuple[bytes, int, int]:
+    """raw without spans that may overlap, touch or end behind it; how many bytes and how many maximal runs go."""
+    a, b = a[a < len(raw)], np.minimum(b, len(raw))[a < len(raw)]
+    if not len(a):
+        return raw, 0, 0
+    by = np.argsort(a, kind="stable")
+    a, b = a[by], np.maximum.accumulate(b[by])
+    cut = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]]))
+    first, last = a[cut], b[np.append(cut[1:] - 1, len(b) - 1)]
+    kept = [raw[x:y] for x, y in zip([0, *last.tolist()], [*first.tolist(), len(raw)], strict=True)]
+    return b"".join(kept), int((last - first).sum()), len(first)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -414,28 +542,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     and remove nothing. An empty table gives none; other columns are ignored.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    spans = repeated_spans(texts.where("doc_id is not null")).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    spans = reduce(DataFrame.unionAll, repeated_spans(texts.where("doc_id is not null")))
+    spans = spans.groupBy("doc_id").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd")
         for b in batches:
-            for part in slices(b, limit=1_500_000):
+            for part in slices(b, 2, 700_000):
                 out = []
-                for doc, packed, own in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
-                    raw = zlib.decompress(packed)
-                    kept, at, removed, n = [], 0, 0, 0
-                    for x in sorted((s["a"], min(s["b"], len(raw))) for s in own or [] if s["a"] < len(raw)):
-                        if x[0] > at or not n:
-                            kept.append(raw[at : x[0]])
-                            removed, n, at = removed + x[1] - x[0], n + 1, x[1]
-                        elif x[1] > at:
-                            removed, at = removed + x[1] - at, x[1]
-                    rest = b"".join([*kept, raw[at:]])
-                    out.append((doc, len(raw), removed, n, hashlib.sha256(rest).hexdigest(), rest))
+                ends = [part.column(k) for k in (3, 4)]
+                for i, (doc, n, packed) in enumerate(zip(*(part.column(k).to_pylist() for k in range(3)), strict=True)):
+                    raw = codec.decompress(packed, n, asbytes=True)
+                    own = [np.asarray(x[i].values) if x[i].is_valid else np.zeros(0, dtype=np.int64) for x in ends]
+                    rest, removed, runs = without(raw, *own)
+                    out.append((doc, n, removed, runs, hashlib.sha256(rest).hexdigest(), rest))
                 columns = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, [pa.int64()] * 4 + [pa.string(), pa.binary()], strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return squeeze(texts).join(spans, "doc_id", "left").select("doc_id", "packed", "spans").mapInArrow(run, schema)
+    return squeeze(texts).join(spans, "doc_id", "left").select("doc_id", "n_bytes", "packed", "a", "b").mapInArrow(run, schema)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
