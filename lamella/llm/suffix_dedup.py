@@ -108,12 +108,12 @@ def _unpack(x: bytes) -> np.ndarray:
     return np.frombuffer(x, dtype="<i8")
 
 
-def suffix_order(data: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Starts of all suffixes, ordered by their first 56 bytes at least, by two-stage sorting.
+def suffix_order(data: np.ndarray, words: np.ndarray, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Starts of all suffixes (of those wanted at least), ordered by their first 56 bytes at least, by two-stage sorting.
 
     Suffixes smaller than their successor are sorted directly, by eight bytes at a time (words). All others are induced
     by one scan over the buckets of first bytes: where a suffix stands, its predecessor, if greater, comes next in the
-    bucket of its first byte.
+    bucket of its first byte. Besides those wanted, the scan needs what follows them up to the next that is sorted.
     """
     n = len(data)
     changes = np.flatnonzero(data[1:] != data[:-1])
@@ -122,8 +122,16 @@ def suffix_order(data: np.ndarray, words: np.ndarray) -> np.ndarray:
     j = np.where(at_end, n - 1, np.append(changes, n - 1)[to_change])
     smaller = np.where(at_end, False, data[j] < data[np.minimum(j + 1, n - 1)])
     run = j - np.arange(n) + 1
-
-    order = np.flatnonzero(smaller)
+    needed = np.ones(n, dtype=bool)
+    if wanted is not None:
+        ends = np.flatnonzero(wanted & ~np.append(wanted[1:], False))
+        sorted_at = np.append(np.flatnonzero(smaller), n - 1)
+        chain = np.zeros(n + 1, dtype=np.int64)
+        np.add.at(chain, ends, 1)
+        np.add.at(chain, sorted_at[np.searchsorted(sorted_at, ends)] + 1, -1)
+        needed = wanted | (np.cumsum(chain[:-1]) > 0)
+
+    order = np.flatnonzero(smaller & needed)
     order = order[np.argsort(words[order], kind="stable")]
     same = np.zeros(len(order), dtype=bool)
     if len(order):
@@ -143,9 +151,10 @@ def suffix_order(data: np.ndarray, words: np.ndarray) -> np.ndarray:
 
     chars = np.flatnonzero(np.bincount(data, minlength=256))
     own_edges = np.searchsorted(data[order], np.arange(257))
-    long_runs = np.flatnonzero(~smaller & (run > 64))
+    long_runs = np.flatnonzero(~smaller & needed & (run > 64))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
     waiting[int(data[-1])].append(np.array([n - 1]))
+    needed[-1] = True
     out = []
     for c in chars.tolist():
         level = np.concatenate(waiting[c]) if waiting[c] else np.zeros(0, dtype=np.int64)
@@ -155,13 +164,13 @@ def suffix_order(data: np.ndarray, words: np.ndarray) -> np.ndarray:
                 break
             bucket.append(level)
             level = level[level > 0] - 1
-            level = level[data[level] == c]
+            level = level[(data[level] == c) & needed[level]]
         bucket.append(long_runs[data[long_runs] == c])
         bucket.append(order[own_edges[c] : own_edges[c + 1]])
         sequence = np.concatenate(bucket)
         out.append(sequence)
         before = sequence[sequence > 0] - 1
-        before = before[data[before] > c]
+        before = before[(data[before] > c) & needed[before]]
         if len(before):
             by = np.argsort(data[before], kind="stable")
             before = before[by]
@@ -206,9 +215,10 @@ def smaller_elsewhere(docs: np.ndarray, sizes: np.ndarray, data: np.ndarray) ->
     if not len(data):
         return gone, context
     words = eight_bytes(data)
-    order = suffix_order(data, words)
     inside = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    order = order[(inside + LENGTH <= sizes[context])[order]]
+    whole = inside + LENGTH <= sizes[context]
+    order = suffix_order(data, words, whole)
+    order = order[whole[order]]
     if len(order):
         new = np.ones(len(order), dtype=bool)
         new[1:] = common_prefix(words, order[1:], order[:-1]) < LENGTH

@@ -103,6 +103,11 @@ def test_suffix_order_and_prefixes():
         assert sorted(order) == list(range(len(data)))
         ranked = [data[i : i + 50] for i in order]
         assert ranked == sorted(ranked)
+        wanted = np.array([rng.random() < 0.2 for _ in range(len(data))])
+        some = suffix_dedup.suffix_order(a, words, wanted).tolist()
+        assert len(set(some)) == len(some) and {i for i in range(len(data)) if wanted[i]} <= set(some)
+        ranked = [data[i : i + 50] for i in some]
+        assert ranked == sorted(ranked)
         i, j = (np.array([rng.randrange(len(data)) for _ in range(40)]) for _ in range(2))
         for x, y, n in zip(i, j, suffix_dedup.common_prefix(words, i, j), strict=True):
             p, q = ((data[k:] + bytes(80))[:50] for k in (x, y))
