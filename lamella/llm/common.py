@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: ASCII white space, as everywhere in the contracts.
@@ -84,6 +85,20 @@ def words(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE, -1))
 
 
+def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df with name, the number from 0 of each row in the order of key, nulls last; equal keys in any order.
+
+    Rows are put into ranges of the key and numbered there; only the ranges' sizes are added up in one task.
+    """
+    ranged = df.repartitionByRange(F.asc_nulls_last(key)).withColumn("_part", F.spark_partition_id())
+    # written once: the ranges come from a sample and must be the same wherever they are used
+    ranged = materialize(ranged, "ranges")
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    base = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", before.alias("_base"))
+    inside = F.row_number().over(W.partitionBy("_part").orderBy(F.asc_nulls_last(key)))
+    return ranged.withColumn("_in", inside).join(base, "_part").withColumn(name, F.col("_base") + F.col("_in") - 1).drop("_part", "_in", "_base")
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> DataFrame:
     """The keys with at least this share of the rows, by exact counts: at most 1 / share rows."""
     least = max(1000, df.count() * share)

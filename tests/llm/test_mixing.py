@@ -56,10 +56,48 @@ def test_hard_rows(spark, hard):
 
 def test_overlapping_sources(spark):
     docs = spark.createDataFrame([(i, "w " * 10, ["x", "y"] if i % 3 == 0 else ["x"] if i % 3 == 1 else ["y"]) for i in range(600)], "doc_id long, text string, sources array<string>")
-    rows, plans = mixing.plan_mix(docs, F.col("sources"), weight=lambda i: (1.0, 3.0)[i])
-    assert [p["pattern"] for p in plans] == [["x"], ["x", "y"], ["y"]]
-    total = {s: sum(p["flow"].get(s, 0) for p in plans) for s in ("x", "y")}
+    rows, plans = mixing.plan_mix(docs, F.col("sources"), weight=lambda i: F.when(i == 0, 1.0).otherwise(3.0))
+    found = sorted(plans.collect(), key=lambda p: p["pattern"])
+    assert [p["pattern"] for p in found] == [["x"], ["x", "y"], ["y"]]
+    total = {s: sum(n for p in found for x, n in p["flow"] if x == s) for s in ("x", "y")}
     assert abs(total["x"] - 1500) <= 1 and abs(total["y"] - 4500) <= 1
     taken = mixing.copies(rows, plans).agg(F.sum(F.col("size") * F.col("copies"))).first()[0]
     assert abs(taken - 6000) <= 30
-    assert all(a <= b for a, b in pairwise(sorted(p["laps"] for p in plans)))
+    assert all(a <= b for a, b in pairwise(sorted(p["laps"] for p in found)))
+
+
+def test_many_sources(spark):
+    """More sources than the driver's network would take; every decision against a plain version."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(["w"] * rng.choice([0, 1, 3, 8])), None if i % 5000 == 1 else f"s{rng.randrange(12_000)}" if i % 3 else "hot") for i in range(40_000)]
+    rows += [(7, "w w w", "hot")] * 40 + [(None, "w w", "hot")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as laps", "2 as cut_spot", "3 as pattern", "4 as target")
+    got = mixing.mix(docs).collect()
+    names = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
+    assert len(names) > 10_000 and len(got) == len(rows)
+    size = dict.fromkeys(names, 0)
+    for _, t, s in rows:
+        size[s] += len(t.split())
+    targets = dict(zip(names, mixing.fill_targets([size[s] for s in names], [i % 3 + 1 for i in range(len(names))]), strict=True))
+    key = spark.createDataFrame([(r[0],) for r in rows], "doc_id long").select("doc_id", F.xxhash64("doc_id", F.lit(0)).alias("h")).distinct().collect()
+    order = {r["doc_id"]: r["h"] % 2**64 for r in key}
+    by = {}
+    for i, t, s in rows:
+        by.setdefault(s, {}).setdefault(i, []).append(len(t.split()))
+    want = {}
+    for s, own in by.items():
+        laps, rest = divmod(round(targets[s]), size[s]) if size[s] else (0, 0)
+        upto, last = 0, None
+        ranked = sorted(own, key=lambda i: (order[i] >> 52, order[i] - (order[i] >> 63 << 64), -(2**63) if i is None else i))
+        for i in ranked:
+            upto += sum(own[i])
+            if upto - sum(own[i]) / 2 <= rest:
+                last = i
+        for k, i in enumerate(ranked):
+            want[s, i] = laps + (rest > 0 and last is not None and k <= ranked.index(last)) if size[s] else 0
+    source = {}
+    for i, _, s in rows:
+        source.setdefault(i, set()).add(s)
+    for r in got:
+        mine = [s for s in source[r["doc_id"]] if size[s] == r["source_size"] and abs(targets[s] - r["target"]) < 1e-6]
+        assert mine and (not r["size"] or any(r["copies"] == want[s, r["doc_id"]] for s in mine)) and r["taken"] == r["copies"] * r["size"]
