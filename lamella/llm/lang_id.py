@@ -256,14 +256,27 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, per_lang: int = 300, **options) -> Crf:
-    """Fits to per_lang documents of each language at most (those first by a hash of the id), held-out ones excepted."""
-    ids = docs.where("lang is not null and text is not null").where(~held_out(F.col("doc_id"))).select("doc_id", "lang")
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = ids.withColumn("_rank", rank).where(F.col("_rank") <= per_lang).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
-    rows = docs.join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("doc_id", "text", "lang").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["text"]))
-    return fit([r["text"] for r in rows], [r["lang"] for r in rows], **options)
+def train(docs: DataFrame, per_lang: int = 300, max_bytes: int = 64_000_000, **options) -> Crf:
+    """Fits to per_lang documents of each language at most, held-out ones excepted, and max_bytes of text in all.
+
+    Those first by a hash of the id are taken, whole; languages in turn, as long as they fit max_bytes. Rows that repeat
+    an id and a language are one document, the one with the least hash of its text.
+    """
+    ids = docs.where("lang is not null and text is not null").where(~held_out(F.col("doc_id")))
+    ids = ids.select(F.col("lang").alias("g"), F.col("doc_id").cast("long").alias("i"), F.xxhash64("text").alias("t"), F.octet_length("text").alias("n"), F.xxhash64(F.col("doc_id").cast("long")).alias("h"))
+    # far more than per_lang of each language remain, by their hashes, but no more at any size of the table
+    counts = ids.groupBy("g").agg(F.approx_count_distinct("i").alias("c"))
+    share = F.least(F.lit(1.0), 4 * (per_lang + 64) / F.col("c"))
+    some = ids.join(counts, "g").where((F.shiftrightunsigned("h", 11) / float(1 << 53)) <= share)
+    one = some.groupBy("g", "i", "h").agg(F.min(F.struct("t", "n")).alias("r"))
+    rank = F.row_number().over(W.partitionBy("g").orderBy("h", "i"))
+    chosen = one.select("g", "i", "r.t", "r.n", rank.alias("k")).where(F.col("k") <= per_lang).orderBy("k", "g").collect()
+    upto = np.cumsum([r["n"] for r in chosen]) if chosen else np.zeros(0)
+    chosen = docs.sparkSession.createDataFrame([(r["g"], r["i"], r["t"]) for r, n in zip(chosen, upto, strict=True) if n <= max_bytes], "g string, i long, t long")
+    whole = docs.select(F.col("doc_id").cast("long").alias("i"), F.col("lang").alias("g"), F.col("text").alias("text"), F.xxhash64("text").alias("t"))
+    rows = whole.join(F.broadcast(chosen), ["i", "g", "t"]).dropDuplicates(["i", "g", "t"]).select("i", "g", "text").collect()
+    rows.sort(key=lambda r: (r["i"] is None, r["i"] or 0, r["g"]))
+    return fit([r["text"] for r in rows], [r["g"] for r in rows], **options)
 
 
 def predict(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,15 +1,18 @@
 """Quality classifier by co-training: a view of the text and a view of the page's metadata teach each other.
 
-Both are logistic regressions. Each round, each view labels a pool of unlabelled documents and passes those it is most
-sure of to the other's training set. Then both are calibrated on labelled documents kept aside, and their log-odds are
-combined. Fitting takes a bounded sample (max_labelled, max_pool) whose features, not texts, come to the driver; all
-documents are scored in Arrow batches without a shuffle.
+Both are logistic regressions. Each round, each view labels all unlabelled documents, and of those it is most sure of
+some pass to the other's training set. Then both are calibrated on labelled documents kept aside, and their log-odds are
+combined. Fitting takes a bounded sample of labelled rows (max_labelled) and of pseudo-labels (max_pseudo a round, view
+and kind), whose features, not texts, come to the driver; all documents are scored in Arrow batches without a shuffle.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import read
+from .common import discard, materialize, read
 from .shingles import mix, word_hashes
 
 GRAMS = 1024
@@ -133,50 +136,49 @@ def _calibrate(odds: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     return tuple(float(v) for v in logistic(odds, target, np.ones(len(y), dtype=np.float32), 1e-2, 300))
 
 
-def co_train(text: np.ndarray, dense: np.ndarray, meta: np.ndarray, y: np.ndarray, *, rounds: int = 4, per_round: float = 0.05, sure: float = 0.95, max_loss: float = 0.005) -> QualityModel:
-    """Fits to rows with y 1 (good), 0 (bad) or -1 (unlabelled).
+class CoTrainer:
+    """Labelled rows, with y 1 (good) or 0 (bad), and what each view has been told by the other.
 
-    Every fourth labelled row only calibrates and sets the threshold: the highest that rejects no more than max_loss of
-    the good ones there. Each round a view passes its surest per_round of the pool, on each side if it is sure of them.
-    Without labels of both kinds: a model that keeps all.
+    Every fourth labelled row only calibrates and sets the threshold.
     """
-    labelled = np.flatnonzero(y >= 0)
-    aside, own = labelled[::4], np.setdiff1d(labelled, labelled[::4])
-    cuts = np.quantile(dense[labelled], np.linspace(0, 1, CUTS + 2)[1:-1], axis=0).T.astype(np.float32) if len(labelled) else np.zeros((len(DENSE), CUTS), dtype=np.float32)
-    views = [expand(text, dense, cuts), meta]
-    model = QualityModel(cuts, np.zeros(views[0].shape[1] + 1, dtype=np.float32), np.zeros(META + 1, dtype=np.float32))
-    if len(set(y[own].tolist())) < 2 or len(set(y[aside].tolist())) < 2:
-        return model
-    pool = np.flatnonzero(y < 0)
-    believed = [np.full(len(y), -1.0), np.full(len(y), -1.0)]
-    for b in believed:
-        b[own] = y[own]
-    weights: list[np.ndarray | None] = [None, None]
-    for r in range(rounds + 1):
-        for k in (0, 1):
-            rows = np.flatnonzero(believed[k] >= 0)
-            trust = np.where(y[rows] >= 0, 1.0, 0.3).astype(np.float32)
-            weights[k] = logistic(views[k][rows], believed[k][rows].astype(np.float32), trust, start=weights[k])
-        if r == rounds or not len(pool):
-            break
+
+    def __init__(self, text: np.ndarray, dense: np.ndarray, meta: np.ndarray, y: np.ndarray):
+        self.cuts = np.quantile(dense, np.linspace(0, 1, CUTS + 2)[1:-1], axis=0).T.astype(np.float32) if len(y) else np.zeros((len(DENSE), CUTS), dtype=np.float32)
+        views, own = [expand(text, dense, self.cuts), meta], np.arange(len(y)) % 4 > 0
+        self.aside, self.aside_y = [v[~own] for v in views], y[~own]
+        self.rows, self.believed, self.trust = ([[v[own]] for v in views], [[y[own]], [y[own]]], [[np.ones(own.sum())], [np.ones(own.sum())]])
+        self.weights: list[np.ndarray] = [np.zeros(v.shape[1] + 1, dtype=np.float32) for v in views]
+        self.ready = len(set(y[own].tolist())) == 2 == len(set(y[~own].tolist()))
+
+    def fit(self) -> None:
         for k in (0, 1):
-            odds = views[k] @ weights[k][:-1] + weights[k][-1]
-            # only as sure as it is right: what a view calls sure is held against the rows aside
-            a, b = _calibrate(odds[aside], y[aside])
-            p = sigmoid(a * odds[pool] + b)
-            order = np.argsort(p, kind="stable")
-            most = max(1, int(per_round * len(pool)))
-            low, high = order[:most], order[-most:]
-            believed[1 - k][pool[low[p[low] < 1 - sure]]] = 0
-            believed[1 - k][pool[high[p[high] > sure]]] = 1
-    model.text, model.meta = weights
-    odds = np.stack([v[aside] @ w[:-1] + w[-1] for v, w in zip(views, weights, strict=True)], axis=1)
-    model.calibration = [_calibrate(odds[:, k], y[aside]) for k in (0, 1)]
-    fitted = odds * [a for a, _ in model.calibration] + [b for _, b in model.calibration]
-    model.combine = _calibrate(fitted, y[aside])
-    good = np.sort(model.scores(views[0][aside], meta[aside])[2][y[aside] == 1])
-    model.threshold = float(min(0.5, good[int(max_loss * len(good))]))
-    return model
+            x, y, trust = (np.concatenate(part[k]).astype(np.float32) for part in (self.rows, self.believed, self.trust))
+            self.weights[k] = logistic(x, y, trust, start=self.weights[k] if self.weights[k].any() else None)
+
+    def odds(self, k: int, x: np.ndarray) -> np.ndarray:
+        return x @ self.weights[k][:-1] + self.weights[k][-1]
+
+    def calibration(self, k: int) -> tuple[float, float]:
+        """Only as sure as it is right: what a view calls sure is held against the rows aside."""
+        return _calibrate(self.odds(k, self.aside[k]), self.aside_y)
+
+    def tell(self, k: int, text: np.ndarray, dense: np.ndarray, meta: np.ndarray, y: np.ndarray) -> None:
+        """View k learns these rows, as the other view labels them."""
+        self.rows[k].append(meta if k else expand(text, dense, self.cuts))
+        self.believed[k].append(y)
+        self.trust[k].append(np.full(len(y), 0.3))
+
+    def model(self, max_loss: float) -> QualityModel:
+        """Both views calibrated and combined; the threshold is the highest that rejects no more than max_loss of the good rows aside."""
+        model = QualityModel(self.cuts, *self.weights)
+        if not self.ready:
+            return model
+        odds = np.stack([self.odds(k, self.aside[k]) for k in (0, 1)], axis=1)
+        model.calibration = [_calibrate(odds[:, k], self.aside_y) for k in (0, 1)]
+        model.combine = _calibrate(odds * [a for a, _ in model.calibration] + [b for _, b in model.calibration], self.aside_y)
+        good = np.sort(model.scores(*self.aside)[2][self.aside_y == 1])
+        model.threshold = float(min(0.5, good[int(max_loss * len(good))]))
+        return model
 
 
 def _features(texts: list, source: list, lang: list, n_chars: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -188,29 +190,87 @@ def _columns(docs: DataFrame) -> list:
     return [F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.col("source"), F.col("lang"), F.col("n_chars").cast("long").alias("n_chars")]
 
 
-def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 4000, max_pool: int = 4000, **options) -> QualityModel:
-    """Co-trains on the labelled (labels: doc_id, quality) and unlabelled documents first by a hash of their id.
+def _chosen_features(docs: DataFrame, chosen: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Features of the documents whose id is in chosen (_lamella_id, a bounded number), one row for each id, in a fixed order.
 
-    A document labelled both ways counts as bad.
+    Of rows that repeat an id, the one with the least hash of its columns.
     """
-    by_id = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_y"))
-    some = by_id.orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
-    rest = docs.select(F.col("doc_id").alias("_id")).where("_id is not null").join(by_id.select("_id"), "_id", "left_anti").orderBy(F.xxhash64("_id"), "_id").limit(max_pool)
-    chosen = some.unionAll(rest.withColumn("_y", F.lit(-1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in slices(b, 1, 1_000_000):
-                columns = [part.column(k).to_pylist() for k in range(6)]
-                parts = _features(*columns[1:5])
+                parts = _features(*[part.column(k).to_pylist() for k in range(1, 5)])
                 packed = [pa.array([x.astype(np.float16 if k == 0 else np.float32).tobytes() for x in v], pa.binary()) for k, v in enumerate(parts)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(5), *packed], names=["doc_id", "y", "text", "dense", "meta"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *packed], names=["doc_id", "text", "dense", "meta"])
+
+    rows = docs.select(*_columns(docs)).join(F.broadcast(chosen), F.col("doc_id") == F.col("_lamella_id"))
+    rest = ("text", "source", "lang", "n_chars")
+    one = rows.groupBy("doc_id").agg(F.min_by(F.struct(*rest), F.xxhash64(*rest)).alias("r")).select("doc_id", *[f"r.{c}" for c in rest])
+    got = one.mapInArrow(run, "doc_id long, text binary, dense binary, meta binary").collect()
+    got.sort(key=lambda r: int(mix(np.array([r["doc_id"]]).astype(np.uint64))[0]))
+    unpack = lambda x, kind: np.frombuffer(x, dtype=kind).astype(np.float32)
+    return {r["doc_id"]: (unpack(r["text"], np.float16), unpack(r["dense"], np.float32), unpack(r["meta"], np.float32)) for r in got}
+
+
+def _stacked(features: dict, ids: list[int]) -> list[np.ndarray]:
+    widths = (GRAMS, len(DENSE), META)
+    return [np.stack([features[i][k] for i in ids]) if ids else np.zeros((0, w), dtype=np.float32) for k, w in enumerate(widths)]
+
+
+def _all_odds(docs: DataFrame, trainer: CoTrainer) -> DataFrame:
+    """(doc_id, odds0, odds1) of each row with an id, by the views' present weights, calibrated."""
+    cuts, weights, fitted = trainer.cuts, trainer.weights, [trainer.calibration(k) for k in (0, 1)]
 
-    rows = docs.select(*_columns(docs)).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "source", "lang", "n_chars", F.col("_y").cast("int").alias("y"))
-    got = rows.mapInArrow(run, "doc_id long, y int, text binary, dense binary, meta binary").collect()
-    got.sort(key=lambda r: (int(mix(np.array([r["doc_id"]]).astype(np.uint64))[0]), bytes(r["text"])))
-    unpack = lambda name, kind, n: np.frombuffer(b"".join(bytes(r[name]) for r in got), dtype=kind).reshape(len(got), n).astype(np.float32)
-    return co_train(unpack("text", np.float16, GRAMS), unpack("dense", np.float32, len(DENSE)), unpack("meta", np.float32, META), np.array([r["y"] for r in got], dtype=np.int64), **options)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in slices(b, limit=2_000_000):
+                grams, dense, meta = _features(*[part.column(k).to_pylist() for k in range(1, 5)])
+                odds = [a * (x @ w[:-1] + w[-1]) + c for x, w, (a, c) in zip((expand(grams, dense, cuts), meta), weights, fitted, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, pa.float64()) for x in odds)], names=["doc_id", "odds0", "odds1"])
+
+    return docs.select(*_columns(docs)).where("doc_id is not null").mapInArrow(run, "doc_id long, odds0 double, odds1 double")
+
+
+def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 4000, max_pseudo: int = 1000, rounds: int = 2, per_round: float = 0.05, sure: float = 0.95, max_loss: float = 0.005) -> QualityModel:
+    """Co-trains on labelled (labels: doc_id, quality) and all unlabelled documents.
+
+    Of the labelled ones, max_labelled at most take part, those first by a hash of their id. Each round each view labels
+    all unlabelled documents; its surest per_round on each side, if it is sure of them, are what the other view learns
+    from, of which at most max_pseudo of a kind, first by a hash, are taken. A document labelled both ways counts as bad;
+    rows that repeat an id are one document. Without labels of both kinds: a model that keeps all.
+    """
+    by_id = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("_lamella_id")).agg(F.min("quality").alias("_lamella_y"))
+    some = by_id.orderBy(F.xxhash64("_lamella_id"), "_lamella_id").limit(max_labelled)
+    quality = {r["_lamella_id"]: r["_lamella_y"] for r in some.collect()}
+    features = _chosen_features(docs, some.select("_lamella_id"))
+    trainer = CoTrainer(*_stacked(features, list(features)), np.array([quality[i] for i in features], dtype=np.int64))
+    if not trainer.ready:
+        return trainer.model(max_loss)
+    told: list[set[int]] = [set(), set()]
+    edge = math.log(sure / (1 - sure))
+    trainer.fit()
+    for _ in range(rounds):
+        odds = materialize(_all_odds(docs, trainer).join(by_id.select(F.col("_lamella_id").alias("doc_id")), "doc_id", "left_anti"), "odds")
+        low0, low1, high0, high1 = odds.agg(*[F.percentile_approx(f"odds{k}", q, 1000) for q in (per_round, 1 - per_round) for k in (0, 1)]).first()
+        if low0 is None:
+            break
+        picks = []
+        for k, low, high in ((0, low0, high0), (1, low1, high1)):
+            c = F.col(f"odds{k}")
+            for y, rule in ((0, (c <= low) & (c < -edge)), (1, (c >= high) & (c > edge))):
+                ids = odds.where(rule).select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(k)), "doc_id").limit(max_pseudo)
+                picks.append(ids.select(F.col("doc_id").alias("_lamella_id"), F.lit(k).alias("view"), F.lit(y).alias("y")))
+        found = [tuple(r) for r in reduce(DataFrame.unionAll, picks).collect()]
+        new = _chosen_features(docs, docs.sparkSession.createDataFrame(sorted({(i,) for i, _, _ in found}), "_lamella_id long"))
+        discard(odds)
+        for k in (0, 1):
+            # a document that repeats an id may be sure of both kinds: it is left out
+            sides = Counter(i for i, v, _ in found if v == k)
+            own = sorted((i, y) for i, v, y in found if v == k and sides[i] == 1 and i not in told[1 - k] and i in new)
+            told[1 - k] |= {i for i, _ in own}
+            trainer.tell(1 - k, *_stacked(new, [i for i, _ in own]), np.array([y for _, y in own], dtype=np.int64))
+        trainer.fit()
+    return trainer.model(max_loss)
 
 
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:

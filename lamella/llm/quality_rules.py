@@ -141,11 +141,15 @@ def learn(rows: list[dict], min_precision: float = 0.9, min_covered: int = 3, ma
 
 
 def labelled_statistics(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> list[dict]:
-    """Statistics of at most max_rows labelled documents, those first by a hash of doc_id; bad: quality 0."""
-    one = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_q"))
+    """Statistics of at most max_rows labelled documents, those first by a hash of doc_id; bad: quality 0.
+
+    A document labelled both ways counts as bad; of rows that repeat an id, the one with the least hash of its text.
+    """
+    one = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min("quality").alias("_q"))
     sample = one.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id"), "left_semi")
-    rows = statistics(chosen).join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", *FEATURES, (1 - F.col("_q")).cast("int").alias("_bad"))
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))
+    single = chosen.groupBy("doc_id", "_q").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = statistics(single.select(F.struct("doc_id", "_q").alias("doc_id"), "text")).select("doc_id.doc_id", *FEATURES, (1 - F.col("doc_id._q")).cast("int").alias("_bad"))
     return [r.asDict() for r in sorted(rows.collect(), key=lambda r: (hash_order(r["doc_id"]), r["doc_id"]))]
 
 
