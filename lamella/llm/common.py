@@ -113,6 +113,8 @@ def join_by_key(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     """
     keys = list(keys)
     hot = materialize(hot_keys(left, keys) if hot is None else hot, "hot")
+    if hot.isEmpty():
+        return left.join(right, keys, how)
     some = F.broadcast(hot)
     rare = left.join(some, keys, "left_anti").join(right, keys, how)
     busy = left.join(F.broadcast(right.join(some, keys, "left_semi")), keys, how).join(some, keys, "left_semi")

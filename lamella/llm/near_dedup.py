@@ -5,8 +5,8 @@ pairs, odd sketches (MinHash samples folded into a parity bitmap, compared by XO
 that are clearly too different, and the full shingle sets confirm the rest.
 
 A bucket doesn't give all its pairs: each member is compared with the bucket's smallest first. Only members that are
-then still in different components are compared with one another, in blocks of bounded size. Components are found by
-star contraction over tables in the shared folder; links and components never come to the driver.
+then still in different components are compared with one another, by their sketches, in blocks of bounded size. Components
+are found by star contraction over tables in the shared folder; links and components never come to the driver.
 
 A pair at the threshold of 0.8 shares none of the 32 bands of 4 with a probability of 5e-8; the sketch filter is 8
 standard deviations wide.
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import HOT_SHARE, join_by_key, materialize, read
+from .common import HOT_SHARE, discard, join_by_key, materialize, read
 from .shingles import mix, shingle_sets
 
 BANDS, ROWS = 32, 4
@@ -32,7 +33,9 @@ SAMPLES = BANDS * ROWS
 #: An odd sketch is so many 64-bit integers.
 SKETCH = 8
 #: Members of a block in which a bucket's members are compared.
-BLOCK = 256
+BLOCK = 4096
+#: Pairs of one document that are confirmed together, about.
+PARTNERS = 500
 _rng = np.random.default_rng(7)
 _A = _rng.integers(0, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, SAMPLES, dtype=np.uint64)
@@ -101,29 +104,60 @@ def features(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, " + ", ".join(f"s{i} long" for i in range(SKETCH)))
 
 
-def _differing(a: str, b: str) -> Column:
-    return sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(1, SKETCH)), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
+def _differing() -> Column:
+    """How many bits of the sketches as0.. and bs0.. differ."""
+    return reduce(Column.__add__, (F.bit_count(F.col(f"as{i}").bitwiseXOR(F.col(f"bs{i}"))) for i in range(SKETCH)))
+
+
+def _keyed(batches: Iterator[pa.RecordBatch], n_keys: int, limit: int = 4096) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Sorted batches cut where the first n_keys columns change, with these columns' values."""
+    for b in batches:
+        for at in range(0, b.num_rows, limit):
+            part = b.slice(at, limit)
+            keys = list(zip(*(part.column(k).to_pylist() for k in range(n_keys)), strict=True))
+            begin = 0
+            for i in range(1, len(keys) + 1):
+                if i == len(keys) or keys[i] != keys[begin]:
+                    yield keys[begin], part.slice(begin, i - begin)
+                    begin = i
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
     """The pairs (u, v) whose full shingle sets are alike enough; texts: (doc_id, text). Materialized.
 
-    100 * intersection >= 100 * threshold * union, in integers.
+    100 * intersection >= 100 * threshold * union, in integers. The pairs of a u are cut into groups of about PARTNERS; the
+    text of u comes once a group, before the texts of its partners, so no u is too frequent.
     """
     percent = round(100 * threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: np.ndarray | None = None
         for b in batches:
-            for part in slices(b, 2, 1_000_000):
-                sets = [shingle_sets([(t or "").encode() for t in part.column(k).to_pylist()], width) for k in (2, 3)]
+            for part in slices(b, 3, 2_000_000):
+                u, v = (part.column(k).to_pylist() for k in (0, 2))
                 good = []
-                for x, y in zip(*sets, strict=True):
+                for i, y in enumerate(shingle_sets([(t or "").encode() for t in part.column(3).to_pylist()], width)):
+                    if v[i] is None:
+                        own = y
+                        continue
+                    x = own
                     both = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0
-                    good.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-                yield part.select([0, 1]).filter(pa.array(good, pa.bool_()))
+                    if both > 0 and 100 * both >= percent * (len(x) + len(y) - both):
+                        good.append((u[i], v[i]))
+                yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in good], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    groups = F.ceil(F.col("n") / PARTNERS).cast("int")
+    sizes = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("n")).select("u", groups.alias("groups"))
+    text = lambda name: texts.select(F.col("doc_id").alias(name), F.col("text").alias("text"))
+    heads = sizes.join(text("u"), "u").select("u", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.lit(None).cast("long").alias("v"), "text")
+    partners = join_by_key(pairs, sizes, ["u"]).select("u", F.pmod(F.xxhash64("v"), F.col("groups")).cast("int").alias("part"), "v").join(text("v"), "v").select("u", "part", "v", "text")
+    rows = heads.unionAll(partners).repartition("u", "part").sortWithinPartitions("u", "part", F.asc_nulls_first("v"))
+    return materialize(rows.mapInArrow(run, "u long, v long"), "links")
 
-    rows = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v")
-    return materialize(rows.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "links")
+
+def _tie(rows: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """rows (a, b) with m of least (a, m, n; materialized), where some ids may have a large share of all rows."""
+    return join_by_key(rows, least.select("a", "m"), ["a"], hot=least.where(F.col("n") >= max(1000, total * HOT_SHARE)).select("a"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -134,22 +168,63 @@ def components(links: DataFrame) -> DataFrame:
     """
     sides = links.where("u <> v")
     edges = materialize(sides.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct(), "edges")
-    before = None
+    before, total = None, edges.count()
     while True:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
-        tied = large.join(small, "a").where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
-        edges = materialize(tied.unionAll(small.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n")), "least")
+        large = materialize(_tie(both, least, 2 * total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
+        small = materialize(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "small")
+        tied = _tie(large, small, total).where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
+        new = materialize(tied.unionAll(small.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        for table in (edges, least, large, small):
+            discard(table)
+        edges = new
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == before:
             break
-        before = now
+        before, total = now, now[0]
     # all edges are stars now
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionAll(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
+def _near_in_blocks(rows: DataFrame, bits: list[str], most: int) -> DataFrame:
+    """(u, v): members of different components in a pair of blocks whose sketches differ in few bits.
+
+    rows: key, i, j (two blocks of a bucket), own (which of both), rep, c (component) and the sketch.
+    """
+    columns = ["key", "i", "j", "own", "rep", "c", *bits]
+
+    def near(group: list[pa.RecordBatch]) -> pa.RecordBatch:
+        own, rep, c, *sketch = (np.concatenate([np.asarray(g.column(k)) for g in group]) for k in range(3, len(columns)))
+        sketch, i = np.stack(sketch, axis=1).view(np.uint64), group[0].column(1)[0].as_py()
+        left = np.flatnonzero(own == i)
+        right = np.flatnonzero(own != i) if (own != i).any() else left
+        if group[0].column(2)[0].as_py() != i and right is left:
+            right = left[:0]
+        out = [np.zeros((0, 2), dtype=np.int64)]
+        step = max(1, 1_000_000 // (8 * max(1, len(right))))
+        for at in range(0, len(left), step):
+            rows = left[at : at + step]
+            close = np.bitwise_count(sketch[rows][:, None] ^ sketch[right][None]).sum(axis=2, dtype=np.int64) <= most
+            x, y = np.nonzero(close & (c[rows][:, None] != c[right][None]))
+            out.append(np.stack([np.minimum(rep[rows[x]], rep[right[y]]), np.maximum(rep[rows[x]], rep[right[y]])], axis=1))
+        pairs = np.unique(np.concatenate(out), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, group = None, []
+        for key, part in _keyed(batches, 3):
+            if key != before and group:
+                yield near(group)
+                group = []
+            before = key
+            group.append(part)
+        if group:
+            yield near(group)
+
+    return rows.select(*columns).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "u long, v long").distinct()
+
+
 def link(reps: DataFrame, docs: DataFrame, width: int, threshold: float) -> DataFrame:
     """(id, component) of the representatives that have links; reps: (rep, bands, s0..s7), docs: (doc_id, text)."""
     bits = [f"s{i}" for i in range(SKETCH)]
@@ -157,12 +232,13 @@ def link(reps: DataFrame, docs: DataFrame, width: int, threshold: float) -> Data
     members = reps.select("rep", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = materialize(buckets, "buckets")
-    hot = buckets.where(F.col("n") >= max(1000, reps.count() * BANDS * HOT_SHARE)).select("key")
+    hot = materialize(buckets.where(F.col("n") >= max(1000, reps.count() * BANDS * HOT_SHARE)).select("key"), "hot")
     members = materialize(join_by_key(members, buckets, ["key"], hot=hot), "members")
 
-    pairs = members.where("rep <> leader").select(F.col("leader").alias("u"), F.col("rep").alias("v")).distinct()
-    near = pairs.join(sketches.alias("x"), F.col("u") == F.col("x.rep")).join(sketches.alias("y"), F.col("v") == F.col("y.rep"))
-    tested = materialize(near.where(_differing("x", "y") <= most_bits(threshold)).select("u", "v").distinct(), "pairs")
+    pairs = materialize(members.where("rep <> leader").select(F.col("leader").alias("u"), F.col("rep").alias("v")).distinct(), "pairs")
+    of = lambda name, side: reps.select(F.col("rep").alias(name), *[F.col(c).alias(f"{side}{c}") for c in bits])
+    near = join_by_key(pairs, of("u", "a"), ["u"]).join(of("v", "b"), "v").where(_differing() <= most_bits(threshold))
+    tested = materialize(near.select("u", "v"), "pairs")
     # texts that share a bucket with another go through one shuffle, in the same way at every size
     shared = members.select(F.col("rep").alias("doc_id")).distinct()
     texts = materialize(docs.join(shared.hint("merge"), "doc_id", "left_semi"), "texts")
@@ -175,18 +251,14 @@ def link(reps: DataFrame, docs: DataFrame, width: int, threshold: float) -> Data
     apart = state.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("key")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    rows = state.join(apart, "key", "left_semi").join(sketches, "rep").withColumn("own", own)
+    rows = join_by_key(state, apart, ["key"], "left_semi", hot).join(sketches, "rep").withColumn("own", own)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "c", *bits)
-    x, y = rows.alias("x"), rows.alias("y")
-    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
-    across = (F.col("x.i") == F.col("x.j")) | (F.col("x.own") != F.col("y.own"))
-    more = x.join(y, same & across & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.c") != F.col("y.c")) & (_differing("x", "y") <= most_bits(threshold)))
-    more = more.select(F.col("x.rep").alias("u"), F.col("y.rep").alias("v")).distinct().join(tested, ["u", "v"], "left_anti")
-    more = materialize(more, "pairs")
-    if more.isEmpty():
-        return found
-    return components(links.unionAll(confirm(more, texts, width, threshold)))
+    more = materialize(_near_in_blocks(rows, bits, most_bits(threshold)).join(tested, ["u", "v"], "left_anti"), "pairs")
+    if not more.isEmpty():
+        found = components(links.unionAll(confirm(more, texts, width, threshold)))
+    discard(texts)
+    return found
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -194,7 +266,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_
 
     Words are lower-cased (A-Z) runs without ASCII white space; a text with fewer than width words is one shingle. Texts
     without words, null or empty, and rows with a null id are linked with nothing. Rows that repeat an id and its text
-    stay or go together. An empty table gives none; other columns are ignored.
+    are kept or not together (deduplicate() leaves one of them). An empty table gives none; other columns are ignored.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = materialize(features(texts, width), "features")
@@ -211,9 +283,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_
 
 
 def deduplicate(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The rows of docs that near_duplicates() keeps: of each component, its smallest id."""
-    drop = near_duplicates(docs, width, threshold).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(drop.hint("merge"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    """docs (doc_id, text, ...) with exactly one row of each component: of its smallest id, null after all others.
+
+    Of rows that repeat an id and its text (equal, or null id and equal text) the one with the least hash of all its
+    columns stays. Rows without words, null or empty texts, are in no component: all of them stay.
+    """
+    names = docs.columns
+    digest = F.xxhash64("text")
+    # rows without an id get one by their text, above any that is there
+    key = F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(digest, 2).bitwiseOR(F.lit(1 << 62)))
+    rows = docs.select(F.struct(*names).alias("_row"), key.alias("_key"), digest.alias("_digest"), F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("_words"))
+    found = near_duplicates(rows.select(F.col("_key").alias("doc_id"), F.col("_row.text").alias("text")), width, threshold)
+    drop = found.where(~F.col("kept")).select(F.col("doc_id").alias("_key")).distinct()
+    again = materialize(rows.where("_words").groupBy("_key", "_digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_key", "_digest"), "repeated")
+    rows = rows.join(drop.hint("merge"), "_key", "left_anti")
+    if again.isEmpty():
+        return rows.select("_row.*")
+    # neither side is shuffled by a key that repeats: copies of a row are brought down to one in each task first
+    single = rows.join(again, ["_key", "_digest"], "left_anti").select("_row")
+    best = rows.where("_words").join(again, ["_key", "_digest"], "left_semi").groupBy("_key", "_digest").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row")).select("_row")
+    return single.unionAll(best).select("_row.*")
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,7 +55,7 @@ def corpus(n=400, seed=3):
 @pytest.mark.parametrize("width", [2, 5])
 def test_components(spark, width):
     rows = corpus()
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 key", "2 rep")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 key", "2 rep", "3 _gone", "4 _key", "5 _row", "6 _digest", "7 _words", "8 kept")
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(docs, width).collect()}
     assert got == {i: (n, c, c == i) for i, (n, c) in brute(rows, width).items()}
     kept = near_dedup.deduplicate(docs, width)
@@ -67,7 +67,42 @@ def test_hard_rows(spark, hard):
     assert sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in got) == sorted(
         [("1", "1", True), ("2", "2", True), ("3", "3", True), ("4", "4", True), ("4", "4", True), ("5", "5", True), ("6", "6", True), ("7", "7", True), ("8", "8", True), ("9", "4", False), ("None", "None", True)]
     )
-    assert near_dedup.near_duplicates(hard.limit(0)).count() == 0 and near_dedup.deduplicate(hard).count() == hard.count() - 1
+    assert near_dedup.near_duplicates(hard.limit(0)).count() == 0 and near_dedup.deduplicate(hard).count() == hard.count() - 2
+
+
+def test_one_row_of_each_component(spark):
+    """Repeated rows and rows without an id, too; the same row whatever the order."""
+    rows = [(1, "a b c d", "x"), (1, "a b c d", "y"), (1, "a b c d", "y"), (2, "A B C D", "z"), (None, "a b c d", "z"), (None, "q r s", "k"), (None, "q r s", "l"), (5, "q r s t", "m"), (3, "u", "n"), (3, "v", "n"), (None, " ", "o"), (None, " ", "o"), (4, None, "p"), (4, None, "p")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted(map(tuple, near_dedup.deduplicate(docs).collect()), key=str)
+    assert got == sorted(map(tuple, near_dedup.deduplicate(docs.repartition(3)).collect()), key=str)
+    kept = [(i, t) for i, t, _ in got]
+    assert sorted(map(str, kept)) == sorted(map(str, [(1, "a b c d"), (None, "q r s"), (5, "q r s t"), (3, "u"), (3, "v"), (None, " "), (None, " "), (4, None), (4, None)]))
+
+
+def test_a_leader_of_many(spark, monkeypatch):
+    """3,000 documents alike to one, in groups of 50 partners, and a hub in the links."""
+    monkeypatch.setattr(near_dedup, "PARTNERS", 50)
+    monkeypatch.setattr(near_dedup, "HOT_SHARE", 1e-4)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*base, f"x{i}"])) for i in range(3000)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert len(got) == 3000 and {r["component_id"] for r in got} == {0}
+
+
+def test_a_bucket_of_many_apart(spark, monkeypatch):
+    """20,000 members of one bucket that aren't alike: none is lost, and pairs that are alike are found."""
+    rng = np.random.default_rng(5)
+    n = 20_000
+    sketch = rng.integers(-(2**63), 2**63, (n, near_dedup.SKETCH))
+    for k in range(0, n, 1000):
+        sketch[k + 1] = sketch[k]
+    rows = [(i, [7], *map(int, sketch[i])) for i in range(n)]
+    bits = [f"s{i}" for i in range(near_dedup.SKETCH)]
+    reps = spark.createDataFrame(rows, "rep long, bands array<long>, " + ", ".join(f"{b} long" for b in bits)).repartition(4)
+    docs = spark.createDataFrame([(i, f"t{i - i % 1000 if i % 1000 < 2 else i}") for i in range(n)], "doc_id long, text string").repartition(4)
+    got = {r["id"]: r["component"] for r in near_dedup.link(reps, docs, 2, 0.8).collect()}
+    assert got == {i + d: i for i in range(0, n, 1000) for d in (0, 1)}
 
 
 def test_long_chains_and_stars(spark):
