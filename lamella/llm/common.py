@@ -59,14 +59,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def running_sum(steps: Column, block: int = 256) -> Column:
-    """Inclusive running sum of an array of integers; appends in blocks, so it stays near-linear."""
+def running(steps: Column, combine: Callable[[Column, Column], Column], block: int = 256) -> Column:
+    """Inclusive running combination, from 0, of an array of integers; appends in blocks, so it stays near-linear."""
 
     def merge(acc: Column, b: Column, all_steps: Column) -> Column:
         inner = F.aggregate(
             F.slice(all_steps, b * block + 1, block),
             F.struct(acc["pos"].alias("pos"), F.array().cast("array<bigint>").alias("out")),
-            lambda a, s: F.struct((a["pos"] + s).alias("pos"), F.concat(a["out"], F.array(a["pos"] + s)).alias("out")),
+            lambda a, s: let(combine(a["pos"], s), lambda v: F.struct(v.alias("pos"), F.concat(a["out"], F.array(v)).alias("out"))),
         )
         return let(inner, lambda r: F.struct(r["pos"].alias("pos"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
 
@@ -79,6 +79,36 @@ def running_sum(steps: Column, block: int = 256) -> Column:
     return let(F.transform(steps, lambda s: s.cast("bigint")), lambda v: F.when(F.size(v) > 0, scan(v)).otherwise(empty))
 
 
+def running_sum(steps: Column) -> Column:
+    return running(steps, lambda a, b: a + b)
+
+
+def first_true(n: Column, test: Callable[[Column], Column]) -> Column:
+    """The smallest i from 0 to n - 1 for which test(i) holds, n if none; once it holds it must hold on. By bisection."""
+
+    def halve(r: Column, _: Column) -> Column:
+        middle = F.shiftright(r["lo"] + r["hi"], 1)
+        right, left = F.struct((middle + 1).alias("lo"), r["hi"].alias("hi")), F.struct(r["lo"].alias("lo"), middle.alias("hi"))
+        return F.when(r["lo"] >= r["hi"], r).when(test(middle), left).otherwise(right)
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(n + 1)).cast("int"))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), n.cast("int").alias("hi")), halve)["lo"]
+
+
+def chunks(text: Column, size: int = 4096) -> Column:
+    """A text in pieces of size characters, for cut()."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+
+
+def cut(pieces: Column, a: Column, b: Column, size: int = 4096) -> Column:
+    """Characters a to b (end exclusive) of the text of chunks(): costs what it takes, wherever it is in the text."""
+    i, j = F.shiftright(a, size.bit_length() - 1), F.shiftright(b, size.bit_length() - 1)
+    first, last = F.coalesce(F.get(pieces, i), F.lit("")), F.coalesce(F.get(pieces, j), F.lit(""))
+    inner = F.slice(pieces, i + 2, F.greatest(j - i - 1, F.lit(0)))
+    long = F.concat(first.substr(a - i * size + 1, F.lit(size)), F.array_join(inner, ""), last.substr(F.lit(1), b - j * size))
+    return F.when(b <= a, "").when(i == j, first.substr(a - i * size + 1, b - a)).otherwise(long)
+
+
 def words(text: Column) -> Column:
     """The words of a text (null: none), without empty strings."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))

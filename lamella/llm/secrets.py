@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, running_sum
+from .common import chunks, cut, first_true, let, running, running_sum
 
 #: In the order in which spans with equal starts are listed.
 KINDS = ("assign", "access", "hex", "markov")
@@ -24,6 +24,8 @@ MIN_CHARS = 20
 _RUN = "[A-Za-z0-9+/_=-]"
 #: A stretch of n characters needs a sum of ratios above the threshold of NEED - n, LEAST at least; it ends FALL below its peak.
 NEED, LEAST, FALL = 28.0, 6.0, 8.0
+#: A longer run is scored in parts of so many characters, the last a little longer.
+LONGEST = 10_000
 #: Spans of stretches are widened to these characters or the run's ends.
 _PIECE = "^[^/=_-]*"
 
@@ -191,15 +193,25 @@ def _parts(runs: str, model: MarkovModel) -> Column:
     return F.flatten(F.transform(runs, parts))
 
 
-def _outside(x: Column, base: Column, model: MarkovModel) -> Column:
-    """The parts of span x outside the base spans, which are sorted by start; what is cut off must look random itself."""
+def _outside(extra: Column, base: Column, model: MarkovModel) -> Column:
+    """The parts of all spans extra outside the base spans; what is cut off must look random itself.
+
+    Both are sorted by start; of each span only the base spans near it are looked at, found by bisection on their starts
+    and on the largest end so far.
+    """
     none = F.array().cast(SPANS)
-    part = lambda a, b: F.struct(a.alias("start"), x["kind"].alias("kind"), b.alias("end"), x["value"].substr(a - x["start"] + 1, b - a).alias("value"))
-    random = lambda a, b: ((a == x["start"]) & (b == x["end"])) | (mean_ratio(part(a, b)["value"], model) >= model.threshold)
-    add = lambda s, to: F.when((s["at"] < to) & random(s["at"], to), F.concat(s["out"], F.array(part(s["at"], to)))).otherwise(s["out"])
-    meets = F.filter(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    step = lambda s, b: F.struct(F.greatest(s["at"], b["end"]).alias("at"), add(s, b["start"]).alias("out"))
-    return F.aggregate(meets, F.struct(x["start"].alias("at"), none.alias("out")), step, lambda s: add(s, x["end"]))
+
+    def parts(x: Column, ends: Column) -> Column:
+        part = lambda a, b: F.struct(a.alias("start"), x["kind"].alias("kind"), b.alias("end"), x["value"].substr(a - x["start"] + 1, b - a).alias("value"))
+        random = lambda a, b: ((a == x["start"]) & (b == x["end"])) | (mean_ratio(part(a, b)["value"], model) >= model.threshold)
+        add = lambda s, to: F.when((s["at"] < to) & random(s["at"], to), F.concat(s["out"], F.array(part(s["at"], to)))).otherwise(s["out"])
+        step = lambda s, b: F.struct(F.greatest(s["at"], b["end"]).alias("at"), add(s, b["start"]).alias("out"))
+        low = first_true(F.size(base), lambda i: F.get(ends, i) > x["start"])
+        high = first_true(F.size(base), lambda i: F.get(base, i)["start"] >= x["end"])
+        meets = F.slice(base, low + 1, F.greatest(high - low, F.lit(0)))
+        return F.aggregate(meets, F.struct(x["start"].alias("at"), none.alias("out")), step, lambda s: add(s, x["end"]))
+
+    return let(running(F.transform(base, lambda b: b["end"]), F.greatest), lambda ends: F.flatten(F.transform(extra, lambda x: parts(x, ends))))
 
 
 SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
@@ -208,11 +220,12 @@ SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
 def scan(docs: DataFrame, model: MarkovModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, _text, base, extra): spans (start, kind, end, value) of each row, by code points, end exclusive, sorted.
 
-    base holds the pattern kinds, extra what random_spans finds in the runs of ALPHABET's characters, less
-    the base spans. A null text counts as empty; repeated rows give repeated results; an empty table gives
+    base holds the pattern kinds, extra what random_spans finds in the runs of ALPHABET's characters (of a run of more
+    than LONGEST characters, in its parts), less the base spans. A null text counts as empty; repeated rows give repeated results; an empty table gives
     none; other columns are ignored.
     """
-    patterns = (ASSIGN, ACCESS, HEX, rf"{_RUN}{{{least_chars(model)},}}")
+    least = least_chars(model)
+    patterns = (ASSIGN, ACCESS, HEX, rf"{_RUN}{{{least},{LONGEST}}}(?:{_RUN}{{1,{least - 1}}}(?!{_RUN}))?")
     kept = (
         lambda v: F.length(F.regexp_extract(v, ASSIGN, 1)) >= 8,
         lambda v: F.lit(True),
@@ -223,8 +236,8 @@ def scan(docs: DataFrame, model: MarkovModel, id_col: str = "doc_id", text_col:
     rows = rows.select("doc_id", "_text", *[F.regexp_extract_all("_text", F.lit(p), F.lit(0)).alias(f"_m{k}") for k, p in enumerate(patterns)])
     rows = rows.select("doc_id", "_text", *[_found(F.col("_text"), F.col(f"_m{k}"), p, k, kept[k]).alias(f"_s{k}") for k, p in enumerate(patterns)])
     rows = rows.select("doc_id", "_text", F.sort_array(F.concat("_s0", "_s1", "_s2")).alias("base"), _parts("_s3", model).alias("_s3"))
-    free = F.flatten(F.transform("_s3", lambda x: _outside(x, F.col("base"), model)))
-    return rows.select("doc_id", "_text", "base", F.when(F.size("_s3") > 0, free).otherwise(F.col("_s3")).alias("extra"))
+    free = F.when((F.size("_s3") > 0) & (F.size("base") > 0), _outside(F.col("_s3"), F.col("base"), model)).otherwise(F.col("_s3"))
+    return rows.select("doc_id", "_text", "base", free.alias("extra"))
 
 
 def digest(spans: Column) -> Column:
@@ -241,14 +254,17 @@ def redact(docs: DataFrame, model: MarkovModel, mark: str = "[SECRET]", text_col
     inner = docs.withColumn("_lamella_row", F.struct(*docs.columns))
     found = scan(inner.select("_lamella_row", F.col(text_col).alias("_lamella_text")), model, "_lamella_row", "_lamella_text")
     spans = F.sort_array(F.concat("base", "extra"))
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        return F.when(x["start"] >= acc["pos"], F.struct(x["end"].alias("pos"), F.concat(acc["out"], F.array(F.col("_text").substr(acc["pos"] + 1, x["start"] - acc["pos"]), F.lit(mark))).alias("out"))).otherwise(
-            F.struct(F.greatest(acc["pos"], x["end"]).alias("pos"), acc["out"].alias("out"))
-        )
+    def replace(x: Column, pieces: Column) -> Column:
+        """Before each span that begins behind all earlier ones stands what no span covers, from their largest end on."""
+        behind = let(running(F.transform(x, lambda s: s["end"]), F.greatest), lambda ends: F.concat(F.array(F.lit(0).cast("long")), ends))
+        parts = let(behind, lambda ends: F.concat(
+            F.zip_with(x, F.slice(ends, 1, F.size(x)), lambda s, at: F.when(s["start"] >= at, F.concat(cut(pieces, at.cast("int"), s["start"]), F.lit(mark))).otherwise("")),
+            F.array(cut(pieces, F.element_at(ends, -1).cast("int"), F.length("_text"))),
+        ))
+        return F.array_join(parts, "")
 
-    rest = let(F.aggregate(spans, zero, step), lambda r: F.concat(F.array_join(r["out"], ""), F.col("_text").substr(r["pos"] + 1, F.length("_text"))))
+    rest = let(spans, lambda x: let(chunks(F.col("_text")), lambda pieces: replace(x, pieces)))
     clean = F.when(F.size("base") + F.size("extra") > 0, rest).otherwise(F.col(f"doc_id.{text_col}"))
     rows = found.select("doc_id", clean.alias("_clean"))
     of = lambda c: F.col("_clean") if c == text_col else F.length("_clean").cast(docs.schema[c].dataType) if c == "n_chars" else F.col("doc_id")[c]

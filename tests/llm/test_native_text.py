@@ -5,7 +5,9 @@ import random
 import re
 import string
 
-from lamella.llm import quality_rules, secrets
+from pyspark.sql import functions as F
+
+from lamella.llm import common, quality_rules, secrets
 
 ASSIGN = re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -78,6 +80,35 @@ def test_redact_keeps_rows_and_columns(spark, hard):
     assert same.columns == hard.columns and same.count() == hard.count()
 
 
+def test_many_spans_in_long_texts(spark):
+    """Texts of megabytes with thousands of spans, a run without an end, and characters outside the first plane."""
+    model = secrets.train(secrets.labelled_samples(spark))
+    rng = random.Random(8)
+    random_part = lambda n: "".join(rng.choices(string.ascii_letters + string.digits, k=n))
+    many = " ".join(f"😀 é token={random_part(20)} see {random_part(32)} and user_account" for _ in range(20_000))
+    texts = [many, random_part(300_005), "a" * 3_000_000, "word " * 500_000 + f"password: {'x' * 9}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in secrets.scan(docs, model).collect()}
+    assert all([(x["start"], x["kind"], x["end"]) for x in found[i]["base"]] == base(t) for i, t in enumerate(texts))
+    out = {r["doc_id"]: r["text"] for r in secrets.redact(docs, model).collect()}
+    for i, t in enumerate(texts):
+        want, at = [], 0
+        for x in sorted((x["start"], x["end"]) for x in [*found[i]["base"], *found[i]["extra"]]):
+            if x[0] >= at:
+                want += [t[at : x[0]], "[SECRET]"]
+            at = max(at, x[1])
+        assert out[i] == "".join([*want, t[at:]])
+    assert len(found[0]["extra"]) > 19_000 and sum(x["end"] - x["start"] for x in found[1]["extra"]) == 300_005 and out[2] == "[SECRET]"
+
+
+def test_cut(spark):
+    text = "aé😀z" * 40
+    rows = [(a, b) for a in range(0, 161, 7) for b in range(0, 161, 5)]
+    got = spark.createDataFrame(rows, "a int, b int").select("a", "b", common.cut(common.chunks(F.lit(text), 16), F.col("a"), F.col("b"), 16).alias("t")).collect()
+    assert all(r["t"] == text[r["a"] : r["b"]] for r in got)
+    assert spark.range(1).select(common.first_true(F.lit(5), lambda i: i >= 3), common.first_true(F.lit(5), lambda i: i > 9), common.first_true(F.lit(0), lambda i: i > 9)).first()[:] == (3, 5, 0)
+
+
 def brute(text):
     words = WORD.findall(text or "")
     windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
