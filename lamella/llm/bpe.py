@@ -22,7 +22,10 @@ from pyspark.sql import functions as F
 
 from .common import read
 
-MEMO = 300_000
+#: Pre-tokens that a memo holds, and the characters up to which one is put there.
+MEMO, MEMO_CHARS = 300_000, 64
+#: Characters from which on a text's pre-tokens are taken one at a time instead of as a list.
+LONG = 1_000_000
 #: Bytes of text that are put into one output batch.
 BATCH_BYTES = 4_000_000
 
@@ -92,9 +95,11 @@ class Memo(dict):
         self.encoder = encoder
 
     def __missing__(self, token: str) -> bytes:
-        if len(self) >= MEMO:
-            self.clear()
-        self[token] = ids = self.encoder.encode_token(token.encode())
+        ids = self.encoder.encode_token(token.encode())
+        if len(token) <= MEMO_CHARS:
+            if len(self) >= MEMO:
+                self.clear()
+            self[token] = ids
         return ids
 
 
@@ -147,8 +152,17 @@ class Encoder:
 
     def encoding(self):
         """A function from text to the bytes of its ids, with a memo of its own."""
-        find, memo = regex.compile(self.pattern).findall, Memo(self)
-        return lambda text: b"".join(map(memo.__getitem__, find(text)))
+        pattern, memo = regex.compile(self.pattern), Memo(self)
+
+        def encode(text: str) -> bytes:
+            if len(text) < LONG:
+                return b"".join(map(memo.__getitem__, pattern.findall(text)))
+            out = bytearray()
+            for m in pattern.finditer(text):
+                out += memo[m[0]]
+            return bytes(out)
+
+        return encode
 
     def decode(self, ids: bytes) -> bytes:
         words = self.words

@@ -76,3 +76,21 @@ def test_token_counts(spark, hard, encoder, reference):
     assert sum(r["n_tokens"] for r in rows if r["doc_id"] == 8) == rows[[r["doc_id"] for r in rows].index(8)]["doc_tokens"]
     assert [(r["section"], r["n_tokens"]) for r in rows if r["doc_id"] == 1] == [(0, 0)]
     assert token_counts.count_tokens(hard.limit(0), encoder).count() == 0
+
+
+def test_very_long_texts(spark, encoder, reference):
+    """Megabytes in one row, of words and of line breaks alone: the same ids, and every section in bounded batches."""
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choices("abcdeé中 ", k=rng.randrange(1, 12))) for _ in range(5000)]
+    prose = "\n".join(" ".join(rng.choices(vocabulary, k=12)) for _ in range(40_000))
+    assert len(prose) > 2 * bpe.LONG
+    ids = encoder.encoding()(prose)
+    assert np.array_equal(np.frombuffer(ids, "<u4"), reference.encode_ordinary(prose)) and encoder.decode(ids) == prose.encode()
+    breaks = "\n" * 1_500_000
+    docs = spark.createDataFrame([(1, prose), (2, breaks), (None, "x\ny")], "doc_id long, text string")
+    found = token_counts.count_tokens(docs, encoder).groupBy("doc_id").agg({"section": "count", "n_tokens": "sum", "doc_tokens": "max", "char_end": "max"}).collect()
+    got = {r["doc_id"]: (r["count(section)"], r["sum(n_tokens)"], r["max(char_end)"]) for r in found}
+    assert all(r["sum(n_tokens)"] == r["max(doc_tokens)"] for r in found)
+    assert got == {1: (40_000, len(ids) // 4, len(prose)), 2: (1_500_000, len(encoder.encoding()(breaks)) // 4, 1_500_000), None: (2, 3, 3)}
+    with_most = token_counts.attribute(breaks[:9], np.array(reference.encode_ordinary(breaks[:9])), np.array([len(encoder.words[i]) for i in range(len(encoder.words))]), token_counts.line_sections(breaks[:9]))
+    assert with_most.sum() == len(reference.encode_ordinary(breaks[:9]))
