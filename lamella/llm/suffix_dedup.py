@@ -244,19 +244,31 @@ def _spans(gone: np.ndarray, context: np.ndarray, docs: np.ndarray, shift: np.nd
     return docs[context[a]], a + shift[context[a]], b + shift[context[a]] + LENGTH
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
-    """Rows of sorted batches with one value of bucket at a time."""
-    rows, bucket = [], None
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Parts of sorted batches with one value of their first column at a time."""
+    parts, bucket = [], None
     for b in batches:
-        for i in range(0, b.num_rows, 32):
-            for r in b.slice(i, 32).to_pylist():
-                if rows and r["bucket"] != bucket:
-                    yield rows
-                    rows = []
-                bucket = r["bucket"]
-                rows.append(r)
-    if rows:
-        yield rows
+        own = np.asarray(b.column(0))
+        edges = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)] if len(own) else []
+        for i, j in pairwise(edges):
+            if parts and own[i] != bucket:
+                yield parts
+                parts = []
+            bucket = own[i]
+            parts.append(b.slice(i, j - i))
+    if parts:
+        yield parts
+
+
+def _values(parts: list[pa.RecordBatch], column: int, kind: str = "<i8") -> np.ndarray:
+    """A binary column's packed integers of all rows, one after the other, without a Python object for each row."""
+    found = []
+    for p in parts:
+        x = p.column(column).cast(pa.large_binary())
+        _, offsets, data = x.buffers()
+        at = np.frombuffer(offsets, dtype=np.int64)[[x.offset, x.offset + len(x)]]
+        found.append(np.frombuffer(data, dtype=np.uint8)[at[0] : at[1]].tobytes() if data is not None else b"")
+    return np.frombuffer(b"".join(found), dtype=kind)
 
 
 def pieces(docs: DataFrame) -> DataFrame:
@@ -346,10 +358,11 @@ def _ask(n_buckets: int):
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each batch and bucket the anchors that another document has, too, and whether they are frequent; and how many runs of both kinds."""
     schema = pa.schema([("batch", pa.int64()), ("bucket", pa.int64()), ("anchors", pa.binary()), ("frequent", pa.binary()), ("n_open", pa.int64()), ("n_frequent", pa.int64())])
-    for rows in _groups(batches):
-        anchor = np.concatenate([np.frombuffer(r["anchors"], dtype="<u4") for r in rows])
-        entry = np.concatenate([np.frombuffer(r["entries"], dtype="<u2") for r in rows]).astype(np.int64)
-        of = np.repeat(np.arange(len(rows)), [len(r["entries"]) // 2 for r in rows])
+    for parts in _groups(batches):
+        anchor, entry = _values(parts, 2, "<u4"), _values(parts, 3, "<u2").astype(np.int64)
+        batch, bucket = np.concatenate([np.asarray(p.column(1)) for p in parts]), parts[0].column(0)[0].as_py()
+        sizes = np.concatenate([np.asarray(pa.compute.binary_length(p.column(3))) for p in parts]) // 2
+        of = np.repeat(np.arange(len(batch)), sizes)
         by = np.argsort(anchor, kind="stable")
         first = np.flatnonzero(np.concatenate([[True], anchor[by[1:]] != anchor[by[:-1]]]))
         n = np.diff(np.append(first, len(by)))
@@ -361,8 +374,8 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         at = np.flatnonzero(shared)
         for part in np.split(at, np.flatnonzero(np.diff(of[at])) + 1) if len(at) else []:
-            r, often = rows[of[part[0]]], frequent[part]
-            out.append({"batch": r["batch"], "bucket": r["bucket"], "anchors": anchor[part].tobytes(), "frequent": often.astype(np.uint8).tobytes(), "n_open": int(runs[part][~often].sum()), "n_frequent": int(runs[part][often].sum())})
+            often = frequent[part]
+            out.append({"batch": int(batch[of[part[0]]]), "bucket": bucket, "anchors": anchor[part].tobytes(), "frequent": often.astype(np.uint8).tobytes(), "n_open": int(runs[part][~often].sum()), "n_frequent": int(runs[part][often].sum())})
         yield pa.RecordBatch.from_pylist(out, schema)
 
 
@@ -470,26 +483,24 @@ def _sort_blocks(n_salts: int):
     kinds = [pa.int64()] * 4 + [pa.binary()] * 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _groups(batches):
-            found = [_unpack(r["spans"]).reshape(-1, 3) for r in rows if r["spans"] is not None]
-            own, rest = [r for r in rows if r["docs"] is not None], []
-            if own:
-                docs, starts, sizes = (np.concatenate([_unpack(r[c]) for r in own]) for c in ("docs", "starts", "sizes"))
-                data, bucket = np.frombuffer(b"".join(r["data"] for r in own), dtype=np.uint8), own[0]["bucket"]
-                if bucket >= 0:
-                    found.append(np.stack(repeated(docs, starts, sizes, data), axis=1))
-                else:
-                    gone = smaller_elsewhere(docs, np.full(len(docs), LENGTH), data)[0][::LENGTH]
-                    spans, hit = starts.reshape(-1, 2), np.repeat(gone, sizes)
-                    found.append(np.column_stack([np.repeat(docs, sizes)[hit], spans[hit]]))
-                    if n_salts > 1:
-                        left = np.flatnonzero(~gone)
-                        entries = {"at": left, "docs": docs[left], "counts": sizes[left], "spans": spans[~hit]}
-                        rest = _by_hash(data.tobytes(), entries, np.full(len(docs), -1 - (-1 - bucket) // n_salts))
-            spans = np.concatenate([np.zeros((0, 3), dtype=np.int64), *found]).T
-            none = [None] * len(rest)
-            lists = [x.tolist() + none for x in spans] + [[None] * spans.shape[1] + [x[c] for x in rest] for c in names[3:]]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(lists, kinds, strict=True)], names=names)
+        for parts in _groups(batches):
+            found, rest = [_values(parts, 5).reshape(-1, 3)], []
+            docs, starts, sizes, data, bucket = _values(parts, 1), _values(parts, 2), _values(parts, 3), _values(parts, 4, "u1"), parts[0].column(0)[0].as_py()
+            if bucket >= 0:
+                found.append(np.stack(repeated(docs, starts, sizes, data), axis=1))
+            else:
+                gone = smaller_elsewhere(docs, np.full(len(docs), LENGTH), data)[0][::LENGTH]
+                spans, hit = starts.reshape(-1, 2), np.repeat(gone, sizes)
+                found.append(np.column_stack([np.repeat(docs, sizes)[hit], spans[hit]]))
+                if n_salts > 1:
+                    left = np.flatnonzero(~gone)
+                    entries = {"at": left, "docs": docs[left], "counts": sizes[left], "spans": spans[~hit]}
+                    rest = _by_hash(data.tobytes(), entries, np.full(len(docs), -1 - (-1 - bucket) // n_salts))
+            spans = np.concatenate(found).T
+            columns = [pa.array(np.ascontiguousarray(x)) for x in spans] + [pa.nulls(spans.shape[1], k) for k in kinds[3:]]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+            if rest:
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(rest), k) for k in kinds[:3]] + [pa.array([x[c] for x in rest], k) for c, k in zip(names[3:], kinds[3:], strict=True)], names=names)
 
     return run
 
