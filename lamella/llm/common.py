@@ -1,15 +1,17 @@
-"""What several operators share: the shared folder, hot keys, words, let-bindings and running sums."""
+"""What several operators share: tables in the shared folder, hot keys, words, let-bindings, bisection and running sums."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import discard, materialize
+
+__all__ = ["chunks", "cut", "discard", "first_true", "hot_keys", "join_by_key", "let", "materialize", "numbered", "read", "running", "running_sum", "words"]
+
 #: ASCII white space, as everywhere in the contracts.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,39 +23,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir that all executors share; a temporary one where it is unset (local tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="lamella-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once to the shared folder and reads it back: cuts the lineage, survives lost executors.
-
-    The files go when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lamella-{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(table: DataFrame) -> None:
-    """Deletes the files of a materialized table that nothing reads any more."""
-    spark = table.sparkSession
-    for file in table.inputFiles()[:1]:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once, however often body or its lambdas use it."""
     return F.element_at(F.transform(F.array(value), body), 1)
