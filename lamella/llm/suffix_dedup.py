@@ -10,8 +10,8 @@
    that FREQUENT runs have are cut into single strings; equal ones of a batch become one entry of its smallest document,
    and they meet by their own hash, first within groups of SALT batches, then what is left of each group: nothing makes
    an unbounded group.
-4. Suffix arrays. Each block is sorted by two-stage suffix sorting; neighbours with a common prefix of 50 bytes are one
-   string, and its smallest id decides.
+4. Suffix arrays. The different contexts of a block, compared as bytes, are sorted by two-stage suffix sorting; neighbours
+   with a common prefix of 50 bytes are one string, and the smallest id of all its occurrences decides.
 5. Spans are merged by document and cut from the text.
 
 Hashes only bring candidates together, anchors by 32 bits within a bucket; what is removed is decided by comparing bytes.
@@ -205,26 +205,38 @@ def common_prefix(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray
     return length
 
 
+def distinct(sizes: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different contexts among those in data: their bytes and sizes, and which of them each context is."""
+    raw, ends = data.tobytes(), np.cumsum(sizes)
+    number: dict[bytes, int] = {}
+    which = np.array([number.setdefault(raw[a:b], len(number)) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)], dtype=np.int64)
+    return np.frombuffer(b"".join(number), dtype=np.uint8), np.array([len(x) for x in number], dtype=np.int64), which
+
+
 def smaller_elsewhere(docs: np.ndarray, sizes: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each byte of data whether a string starts there that a smaller document has, too; and the byte's context.
 
-    Context i is sizes[i] bytes of document docs[i]; data holds all contexts one after the other.
+    Context i is sizes[i] bytes of document docs[i]; data holds all contexts one after the other. The suffix array holds
+    each different context once; a string's smallest document is that of all occurrences of the contexts it is in.
     """
     context = np.repeat(np.arange(len(sizes)), sizes)
-    gone = np.zeros(len(data), dtype=bool)
     if not len(data):
-        return gone, context
-    words = eight_bytes(data)
-    inside = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    whole = inside + LENGTH <= sizes[context]
-    order = suffix_order(data, words, whole)
+        return np.zeros(0, dtype=bool), context
+    text, size, which = distinct(sizes, data)
+    smallest = np.full(len(size), np.iinfo(np.int64).max)
+    np.minimum.at(smallest, which, docs)
+    least = np.full(len(text), np.iinfo(np.int64).max)
+    words, of = eight_bytes(text), np.repeat(np.arange(len(size)), size)
+    whole = np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size) + LENGTH <= size[of]
+    order = suffix_order(text, words, whole)
     order = order[whole[order]]
     if len(order):
         new = np.ones(len(order), dtype=bool)
         new[1:] = common_prefix(words, order[1:], order[:-1]) < LENGTH
-        own = docs[context[order]]
-        gone[order] = np.minimum.reduceat(own, np.flatnonzero(new))[np.cumsum(new) - 1] < own
-    return gone, context
+        least[order] = np.minimum.reduceat(smallest[of[order]], np.flatnonzero(new))[np.cumsum(new) - 1]
+    # from the different contexts to all their occurrences
+    inside = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return least[np.repeat((np.cumsum(size) - size)[which], sizes) + inside] < docs[context], context
 
 
 def repeated(docs: np.ndarray, starts: np.ndarray, sizes: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
