@@ -20,6 +20,12 @@ def latest(log: DataFrame, keys: Sequence[str] = ("key",), order: str = "seq") -
     return log.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
+def versions(log: DataFrame, horizon: int, keys: Sequence[str] = ("key",), order: str = "seq") -> DataFrame:
+    """What reads at horizon or later can tell apart: all rows above it, and of each key the latest of those up to it."""
+    late = F.col(order) > horizon
+    return log.where(late).unionByName(latest(log.where(~late), keys, order))
+
+
 def latest_by_aggregate(log: DataFrame, keys: Sequence[str] = ("key",), order: str = "seq") -> DataFrame:
     """latest() as an aggregate; binary columns make Spark sort for it."""
     rest = [c for c in log.columns if c not in keys]

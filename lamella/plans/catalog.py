@@ -6,6 +6,7 @@ seq event_id, five runs by event_id modulo 5 (the smaller the newer, where runs
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,10 @@ from pyspark.sql import functions as F
 
 from .. import model
 from ..functions import filters, hashes
+from ..sources.shared import shared_folder
 from ..operators import log as wal
 from ..operators import reads, resolve, runs
+from .database import Database
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -485,10 +488,77 @@ def manifest_orphans(spark, sf_dir):
     return orphans(there, table(spark, sf_dir, "customer").where("c_nationkey < 12").select(path("c_custkey")))
 
 
-@query(f"with {MUTATIONS} select cast(sum(9 + octet_length(encode(key)) + coalesce(octet_length(encode(value)), 0)) as bigint) as bytes, count(distinct src) as n_runs, cast(5 as integer) as levels from ml")
-def db_stats(spark, sf_dir):
+# The store itself: written, closed or left as after a crash, read again
+
+
+def _store(spark: SparkSession) -> str:
+    """A folder for a store; the file system of local sessions only, as the store's own files are."""
+    return shared_folder(spark).removeprefix("file:").replace("//", "/") + f"/lamella-store-{uuid.uuid4().hex}"
+
+
+def _loaded(spark: SparkSession, sf_dir: str, path: str, **options) -> Database:
+    """A store with five runs of all events, loaded one after the other: the newest mutation of each key of a source."""
+    db = Database.open(spark, path, sync=False, **options)
     ml = mutations(spark, sf_dir)
-    return ml.agg(F.sum(9 + F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))).alias("bytes"), F.count_distinct("src").alias("n_runs"), F.lit(5).alias("levels"))
+    for src in range(5):
+        db.load(resolve.latest(ml.where(F.col("src") == src)).select("key", "value", "deleted"))
+    return db
+
+
+_TEXT = ["cast(key as string) key", "cast(value as string) value"]
+_OF_SOURCE = f"{MUTATIONS}, own as (select * exclude rn from (select *, row_number() over (partition by src, key order by seq desc) as rn from ml) where rn = 1)"
+
+
+@query(f"with {_OF_SOURCE} select key, value from (select *, row_number() over (partition by key order by src desc) as rn from own) where rn = 1 and not deleted")
+def db_compacted_state(spark, sf_dir):
+    """Loads and the merges they cause, by a store whose levels are soon full."""
+    path = _store(spark)
+    with _loaded(spark, sf_dir, path, l1_max_runs=2, first_level_max_runs=1, fanout=2, levels=4):
+        pass
+    return Database.open(spark, path, read_only=True).scan().selectExpr(*_TEXT)
+
+
+@query(f"with {_OF_SOURCE} select key, value from (select *, row_number() over (partition by key order by src desc) as rn from own where src <= 2) where rn = 1 and not deleted")
+def db_as_of(spark, sf_dir):
+    """The state after the third of five loads, with merges that retain all versions."""
+    with _loaded(spark, sf_dir, _store(spark), l1_max_runs=2, first_level_max_runs=1, fanout=2, levels=4, retain=1 << 40) as db:
+        return db.as_of(2).selectExpr(*_TEXT)
+
+
+@query(f"with {_OF_SOURCE}, {WANTED} select w.key, case when o.deleted is null then 'NotFound' when o.deleted then 'Deleted' else 'Found' end as result from wanted w left join (select * from (select *, row_number() over (partition by key order by src desc) as rn from own) where rn = 1) o on o.key = w.key")
+def db_lookup(spark, sf_dir):
+    with _loaded(spark, sf_dir, _store(spark)) as db:
+        wanted = _wanted(spark, sf_dir).select(F.col("key").cast("binary").alias("key"))
+        return db.get_table(wanted).select(F.col("key").cast("string").alias("key"), "result")
+
+
+@query("select n_name as key, case when n_nationkey % 5 = 1 then 'batch ' || n_regionkey else 'put ' || n_regionkey end as value from nation where n_nationkey % 5 <> 2")
+def db_recovered_state(spark, sf_dir):
+    """Puts, deletes and a batch of all nations, half of them flushed, then a crash in the middle of another batch."""
+    from ..sources import log_file
+
+    path, nations = _store(spark), table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").orderBy("n_nationkey").collect()
+    db = Database.open(spark, path, sync=False)
+    for i, n in enumerate(nations):
+        db.put(n["n_name"].encode(), f"put {n['n_regionkey']}".encode())
+        if n["n_nationkey"] % 5 == 2:
+            db.delete(n["n_name"].encode())
+        if i == len(nations) // 2:
+            db.flush()
+    with db.batch() as b:
+        for n in nations:
+            if n["n_nationkey"] % 5 == 1:
+                b.put(n["n_name"].encode(), f"batch {n['n_regionkey']}".encode())
+    db.log.begin()
+    db.log.put(nations[0]["n_name"].encode(), b"never")
+    db.log.flush(False)
+    return Database.open(spark, path).scan().selectExpr(*_TEXT)
+
+
+@query(f"with {_OF_SOURCE} select cast(sum(9 + octet_length(encode(key)) + coalesce(octet_length(encode(value)), 0)) as bigint) as bytes, cast(5 as bigint) as runs, cast(5 as bigint) as levels from own")
+def db_stats(spark, sf_dir):
+    with _loaded(spark, sf_dir, _store(spark), merging=False) as db:
+        return spark.createDataFrame([tuple(db.stats().values())], "bytes long, runs long, levels long")
 
 
 _FAMILIES = """cf as (select c_mktsegment as cf, cast(c_nationkey as varchar) as key, c_name as value, c_custkey as seq, c_acctbal < 0 as deleted from customer)"""

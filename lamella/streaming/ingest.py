@@ -13,8 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from ..model import MUTATION
 from ..operators.resolve import visible
-from ..sources.shared import materialize, shared_folder
+from ..sources.shared import file_system, materialize, shared_folder
 
 
 def _markers(spark: SparkSession, store: str):
@@ -49,8 +50,11 @@ def start(source: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
 
 
 def ingested(spark: SparkSession, store: str) -> DataFrame:
-    """All mutations of the published epochs."""
-    return spark.read.parquet(*[f"{store}/epoch={e}" for e in published(spark, store)])
+    """All mutations of the published epochs; none of a store that has no epoch yet."""
+    epochs = published(spark, store)
+    if not epochs:
+        return spark.createDataFrame([], MUTATION)
+    return spark.read.parquet(*[f"{store}/epoch={e}" for e in epochs])
 
 
 def demo_state(spark: SparkSession, log: DataFrame) -> DataFrame:

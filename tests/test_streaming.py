@@ -10,6 +10,7 @@ def test_restart_late_rows_and_unpublished_epochs(spark, tmp_path):
     part = lambda chosen: spark.createDataFrame(chosen, model.MUTATION).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     source = lambda: spark.readStream.schema(model.MUTATION).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     store, checkpoint = f"file://{tmp_path}/store", f"{tmp_path}/checkpoint"
+    assert ingest.ingested(spark, store).count() == 0
     part(rows[30:])
     ingest.start(source(), store, checkpoint).awaitTermination()
     assert ingest.published(spark, store) == [0]
