@@ -1,7 +1,7 @@
 """Membership filters of 16-bit fingerprints: three slots of a key XOR to its fingerprint.
 
-No key that was put in is ever missed; another passes with a probability of about 2^-16. A filter is built per run, so
-its size is that of the run, and takes about 2.5 bytes a key.
+No key that was put in is ever missed; another passes with a probability of about 2^-16. A filter takes about 2.5 bytes a
+key; those of a run are built for parts of its keys, by hash.
 """
 
 from __future__ import annotations
@@ -12,10 +12,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .hashes import murmur3, murmur3_key
 
+#: Keys of a log in a part, about.
+KEYS = 100_000
 _HEAD = "<QQ"
 
 
@@ -91,25 +92,35 @@ def may_contain(blob: bytes, hashes: np.ndarray) -> np.ndarray:
     return table[slots[:, 0]] ^ table[slots[:, 1]] ^ table[slots[:, 2]] == _mark(mixed)
 
 
-def build_filters(log: DataFrame, run: str = "src") -> DataFrame:
-    """(run, filter): a filter of each run's keys; a run's distinct keys are in one task."""
+def n_parts(log: DataFrame, keys: int = KEYS) -> int:
+    """Parts into which a log's keys are hashed, so that a run's filter of a part has about so many keys at most."""
+    return max(1, -(-log.count() // keys))
+
+
+def _part(hash_: Column, parts: int) -> Column:
+    return F.pmod(F.shiftrightunsigned(hash_, 7), F.lit(parts)).cast("int")
+
+
+def build_filters(log: DataFrame, parts: int, run: str = "src") -> DataFrame:
+    """(run, part, filter): filters of each run's keys, by part; no task has all keys of a run."""
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"run": [rows["run"].iloc[0]], "filter": [build(rows["h"].to_numpy().view(np.uint64))]})
+        return pd.DataFrame({"run": [rows["run"].iloc[0]], "part": [rows["part"].iloc[0]], "filter": [build(rows["h"].to_numpy().view(np.uint64))]})
+
+    hashed = log.select(F.col(run).cast("long").alias("run"), murmur3_key(F.col("key")).alias("h")).distinct().withColumn("part", _part(F.col("h"), parts))
+    return hashed.groupBy("run", "part").applyInPandas(one, "run long, part int, filter binary")
 
-    hashed = log.select(F.col(run).cast("long").alias("run"), murmur3_key(F.col("key")).alias("h")).distinct()
-    return hashed.groupBy("run").applyInPandas(one, "run long, filter binary")
 
+def probe_filters(wanted: DataFrame, filters: DataFrame, parts: int) -> DataFrame:
+    """(key, run): the runs that may hold each key of wanted (key), asked once. Keys and filters meet by part.
 
-@F.pandas_udf(T.BooleanType())
-def _probe(blobs: pd.Series, keys: pd.Series) -> pd.Series:
-    out = np.zeros(len(keys), dtype=bool)
-    hashes = murmur3([bytes(k) for k in keys])
-    for blob, rows in pd.Series(range(len(keys))).groupby(blobs.map(bytes).to_numpy()).groups.items():
-        at = np.asarray(rows)
-        out[at] = may_contain(blob, hashes[at])
-    return pd.Series(out)
+    A part has about KEYS keys of the log and as large a share of those wanted; nothing is broadcast or crossed.
+    """
 
+    def one(asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        hashes = asked["h"].to_numpy().view(np.uint64)
+        found = [pd.DataFrame({"key": asked["key"][may_contain(bytes(f), hashes)], "run": r}) for r, f in zip(own["run"], own["filter"], strict=True)] if len(asked) else []
+        return pd.concat(found) if found else pd.DataFrame({"key": [], "run": []})
 
-def probe(filter_: Column, key: Column) -> Column:
-    return _probe(filter_, key.cast("binary"))
+    keys = wanted.select("key").where("key is not null").distinct().withColumn("h", murmur3_key(F.col("key"))).withColumn("part", _part(F.col("h"), parts))
+    return keys.groupBy("part").cogroup(filters.groupBy("part")).applyInPandas(one, f"key {wanted.schema['key'].dataType.simpleString()}, run long")

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -127,30 +126,79 @@ def rough_blocks(log: DataFrame, run: str) -> DataFrame:
     return log.withColumn("space", item_space(F.col("deleted")).cast("long")).withColumn("block", F.floor((upto - 1) / (BLOCK_SIZE - BLOCK_HEADER)))
 
 
-def pack_blocks(log: DataFrame, run: str) -> DataFrame:
+_ROOM = BLOCK_SIZE - BLOCK_HEADER
+
+
+def _next_block(space: np.ndarray, upto: np.ndarray) -> np.ndarray:
+    """For a block that begins with an item, the item with which the next one begins."""
+    return np.maximum(np.arange(len(space)) + 1, np.searchsorted(upto, upto - space + _ROOM, side="right"))
+
+
+def _transfer(space: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """What a segment does to the block that is open before it.
+
+    The running spaces of its first items, a block's worth: they tell which item doesn't fit the open block. If that is
+    item i, the segment begins counts[i] blocks, and used[i] bytes of the last of them are used behind it.
+    """
+    upto = np.cumsum(space)
+    after, last = _next_block(space, upto), np.arange(min(len(space), int(np.searchsorted(upto, _ROOM, side="right")) + 1))
+    head, counts = upto[: len(last)], np.ones(len(last), dtype=np.int64)
+    while (more := after[last] < len(space)).any():
+        last = np.where(more, after[last], last)
+        counts += more
+    return head.tolist(), counts.tolist(), (upto[-1] - upto[last] + space[last]).tolist()
+
+
+def _fill(part: pd.DataFrame, block: int, used: int) -> pd.DataFrame:
+    """The blocks of a segment's items, the first of them the one that is open before it, as far as items fit."""
+    space = part["space"].to_numpy()
+    upto = np.cumsum(space)
+    after, i, starts = _next_block(space, upto).tolist(), int(np.searchsorted(upto, _ROOM - used, side="right")), []
+    numbers = [block] if i else []
+    edges = [0] if i else []
+    while i < len(space):
+        edges.append(i)
+        starts.append(i)
+        i = after[i]
+    numbers += range(block + 1, block + 1 + len(starts))
+    return pd.DataFrame({"run": part["run"].iloc[0], "block": numbers, "n_items": np.diff([*edges, len(space)]), "used": np.add.reduceat(space, edges), "first_key": part["key"].iloc[edges].to_numpy()})
+
+
+def pack_blocks(log: DataFrame, run: str, segment: int = 100_000) -> DataFrame:
     """(run, block, n_items, used, first_key): greedy filling in key order, as blocks are written.
 
-    The items of a run, sorted, are streamed through one task; an item too large for any block has one of its own.
+    An item too large for any block has one of its own. Runs are cut into segments of about so many items in key order.
+    Each segment says what it does to the block that is open before it, in a table of a block's items at most; these are
+    followed through along each run; then all segments are filled in parallel, and a block over a seam is put together.
     """
-    rows = log.select(F.col(run).cast("long").alias("run"), "key", F.col("seq"), item_space(F.col("deleted")).cast("long").alias("space"))
-
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, block, used, n, first = None, 0, 0, 0, None
-        for b in batches:
-            out = []
-            for r, key, space in zip(b["run"], b["key"], b["space"], strict=True):
-                if r != now or BLOCK_HEADER + used + space > BLOCK_SIZE:
-                    if n:
-                        out.append((now, block, n, used, first))
-                    block = block + 1 if r == now else 0
-                    now, used, n, first = r, 0, 0, key
-                used, n = used + space, n + 1
-            yield pd.DataFrame(out, columns=["run", "block", "n_items", "used", "first_key"])
-        if n:
-            yield pd.DataFrame([(now, block, n, used, first)], columns=["run", "block", "n_items", "used", "first_key"])
-
-    ordered = rows.repartition("run").sortWithinPartitions("run", "key", "seq").select("run", "key", "space")
-    return ordered.mapInPandas(fill, f"run long, block long, n_items long, used long, first_key {log.schema['key'].dataType.simpleString()}")
+    key = log.schema["key"].dataType.simpleString()
+    rows = log.select(F.col(run).cast("long").alias("run"), "key", "seq", item_space(F.col("deleted")).cast("long").alias("space"))
+    # written once: the ranges come from a sample and must be the same wherever they are used
+    ranged = rows.repartitionByRange(max(1, -(-log.count() // segment)), "run", "key", "seq").withColumn("segment", F.spark_partition_id())
+    ranged = materialize(ranged, "segments")
+
+    def transfers(at: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        space = part.sort_values(["key", "seq"])["space"].to_numpy()
+        head, counts, used = _transfer(space)
+        return pd.DataFrame({"run": [at[0]], "segment": [at[1]], "total": [space.sum()], "head": [head], "counts": [counts], "used": [used]})
+
+    def follow(part: pd.DataFrame) -> pd.DataFrame:
+        # a run begins with no block, as if nothing fitted
+        block, used, out = -1, BLOCK_SIZE, []
+        part = part.sort_values("segment")
+        for total, head, counts, left in zip(part["total"], part["head"], part["counts"], part["used"], strict=True):
+            out.append((block, used))
+            i = int(np.searchsorted(head, _ROOM - used, side="right"))
+            block, used = (block + int(counts[i]), int(left[i])) if i < len(head) else (block, used + int(total))
+        return part[["run", "segment"]].assign(block=[b for b, _ in out], used=[u for _, u in out])
+
+    def fill(part: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        return _fill(part.sort_values(["key", "seq"]), int(before["block"].iloc[0]), int(before["used"].iloc[0]))
+
+    tables = ranged.groupBy("run", "segment").applyInPandas(transfers, "run long, segment int, total long, head array<long>, counts array<long>, used array<long>")
+    before = tables.groupBy("run").applyInPandas(follow, "run long, segment int, block long, used long")
+    parts = ranged.groupBy("run", "segment").cogroup(before.groupBy("run", "segment")).applyInPandas(fill, f"run long, block long, n_items long, used long, first_key {key}")
+    return parts.groupBy("run", "block").agg(F.sum("n_items").alias("n_items"), F.sum("used").alias("used"), F.min("first_key").alias("first_key"))
 
 
 def block_index(blocks: DataFrame, run: str) -> DataFrame:

@@ -471,11 +471,11 @@ def oversize_entries(spark, sf_dir):
 
 @query(f"with {MUTATIONS}, {WANTED} select m.src as run, w.key from wanted w join (select distinct src, key from ml) m on m.key = w.key")
 def filter_probe_exact(spark, sf_dir):
-    """Runs that hold a key: each run's filter first, then the run itself."""
+    """Runs that hold a key: each run's filters first, then the run itself."""
     ml = mutations(spark, sf_dir).select("key", "src")
-    blobs = filters.build_filters(ml)
-    maybe = _wanted(spark, sf_dir).crossJoin(F.broadcast(blobs)).where(filters.probe(F.col("filter"), F.col("key"))).select("run", "key")
-    return maybe.join(ml.select(F.col("src").alias("run"), "key").distinct(), ["run", "key"], "left_semi").select(F.col("run").cast("int").alias("run"), "key")
+    parts, wanted = filters.n_parts(ml), _wanted(spark, sf_dir)
+    maybe = filters.probe_filters(wanted, filters.build_filters(ml, parts), parts)
+    return maybe.join(ml.select(F.col("src").cast("long").alias("run"), "key"), ["run", "key"], "left_semi").join(wanted, "key").select(F.col("run").cast("int").alias("run"), "key")
 
 
 @query("""select 'level=' || cast(o_custkey % 3 + 1 as varchar) || '/run=' || cast(o_custkey as varchar) as path from (select distinct o_custkey from orders)

@@ -97,10 +97,35 @@ def test_packing(spark):
             first = key if not n else first
             used, n = used + space, n + 1
         want.append((run, block, n, used, first))
-    assert sorted((r["run"], r["block"], r["n_items"], r["used"], bytes(r["first_key"])) for r in runs.pack_blocks(df, "run").collect()) == want
+    for segment in (5, 40, 100_000):
+        assert sorted((r["run"], r["block"], r["n_items"], r["used"], bytes(r["first_key"])) for r in runs.pack_blocks(df, "run", segment).collect()) == want
     assert [bytes(r["key"]) for r in runs.oversize(df).collect()] == [b"cccccccc"]
 
 
+def test_runs_of_keys(spark):
+    """Runs that overlap, nest, touch or stand alone, against all pairs; in a level of disjoint runs, too."""
+    rng = random.Random(9)
+    ranges = [(i, *sorted(rng.choices(range(100), k=2))) for i in range(12)] + [(20, 5, 5), (21, 5, 5), (22, 0, 99)]
+    wanted = [(k,) for k in [*range(-3, 104, 2), 5, 5]]
+    asked = spark.createDataFrame(wanted, "key long")
+    got = runs.pick_for_key(spark.createDataFrame(ranges, "run_id int, first_key long, last_key long"), asked).collect()
+    assert sorted(map(tuple, got)) == sorted((k, r) for (k,) in wanted for r, a, b in ranges if a <= k <= b)
+    level = [(i, 10 * i, 10 * i + 6) for i in range(9)]
+    got = runs.pick_in_level(spark.createDataFrame(level, "run_id int, first_key long, last_key long"), asked).collect()
+    assert sorted(map(tuple, got)) == sorted((k, r) for (k,) in wanted for r, a, b in level if a <= k <= b)
+
+
+def test_filters_by_part(spark):
+    log = spark.createDataFrame([(i % 3, b"k%d" % (i // 2)) for i in range(4000)], "src int, key binary")
+    wanted = spark.createDataFrame([(b"k%d" % i,) for i in range(1500, 6000)] + [(None,), (b"k1",), (b"k1",)], "key binary")
+    for parts in (1, 7):
+        blobs = filters.build_filters(log, parts)
+        found = {(bytes(r["key"]), r["run"]) for r in filters.probe_filters(wanted, blobs, parts).collect()}
+        there = {(b"k%d" % (i // 2), i % 3) for i in range(4000)} & {(bytes(k), r) for (k,) in wanted.where("key is not null").collect() for r in range(3)}
+        assert there <= found and len(found) < len(there) + 20
+    assert filters.probe_filters(wanted, filters.build_filters(log.limit(0), 1), 1).count() == 0 and filters.n_parts(log.limit(0)) == 1
+
+
 def test_plan_shapes(spark, tmp_path):
     """Reconciliation keeps one row a key before the shuffle; key predicates and columns reach the scan."""
     from lamella.operators import reads, resolve
