@@ -17,6 +17,7 @@ from ..functions import filters, hashes
 from ..sources.shared import shared_folder
 from ..operators import log as wal
 from ..operators import reads, resolve, runs
+from . import hash_sql
 from .database import Database
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -627,17 +628,17 @@ def prefix_pages(spark, sf_dir):
 # Functions
 
 
-@query()
+@query(hash_sql.murmur3(MUTATIONS))
 def murmur3_keys(spark, sf_dir):
     return mutations(spark, sf_dir).select("key").distinct().select("key", hashes.murmur3_key(F.col("key")).alias("hash"))
 
 
-@query()
+@query(hash_sql.fnv16(MUTATIONS))
 def fnv16_keys(spark, sf_dir):
     return mutations(spark, sf_dir).select("key").distinct().select("key", hashes.fnv16_key(F.col("key")).alias("hash"))
 
 
-@query()
+@query(hash_sql.crc32())
 def crc32_values(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", hashes.crc32_key(F.col("text")).alias("crc"))
 
