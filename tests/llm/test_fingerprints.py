@@ -2,7 +2,11 @@
 
 import hashlib
 import random
+from functools import reduce
+from itertools import pairwise
 
+import regex
+import xxhash
 from pyspark.sql import functions as F
 
 from lamella.llm import fingerprints
@@ -87,3 +91,31 @@ def test_hard_rows(spark, hard, tmp_path):
     assert fingerprints.op3_fingerprints(spark, f"{tmp_path}/a").count() == hard.count()
     assert fingerprints.op3_fingerprints(spark, f"{tmp_path}/b").select("near_next").first()[0] == 1.0
     assert fingerprints.op3_fingerprints(spark, f"{tmp_path}/c").count() == 0
+
+
+def plain_signature(text):
+    """signature() with lists and dictionaries."""
+    xx = lambda *values: reduce(lambda seed, v: xxhash.xxh64_intdigest(v, seed), values, 42)
+    long, short = (lambda v: v.to_bytes(8, "little")), (lambda v: v.to_bytes(4, "little"))
+    tokens = [m[1].encode() for m in regex.finditer(fingerprints.TOKEN, text)]
+    kmers = [xx(a, b) for a, b in pairwise(tokens)] if len(tokens) > 1 else [xx(t) for t in tokens]
+    bins, seen = {}, {}
+    for place, h in enumerate(kmers):
+        key = h & (2**33 - 1)
+        seen[key] = n = seen.get(key, -1) + 1
+        hashed = xx(long(key), short(n)) >> 31
+        bins.setdefault(hashed >> 27, []).append((hashed, place))
+    out = []
+    for b, own in sorted(bins.items()):
+        smallest = sorted(sorted(own)[:2], key=lambda x: x[1])
+        out.append((b << 32) | (xx(*[long(h) for h, _ in smallest]) & 0xFFFFFFFF))
+    return out or [(64 << 32) | (xx(text.encode()) & 0xFFFFFFFF)]
+
+
+def test_against_a_plain_version(spark):
+    rng = random.Random(12)
+    texts = ["", " \n ", "one", "a b", "a b a b a b", "same " * 300, "x" * 500, "é中\U00020000 " * 40, "line of words\n" * 30]
+    texts += [" ".join(rng.choice(["ab", "cde", "f" * 11, "中文字", "g"]) for _ in range(rng.choice([3, 60, 400, 3000]))) for _ in range(20)]
+    texts += ["".join(chr(rng.randint(0x4E00, 0x4EFF)) for _ in range(1200))]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", fingerprints.signature(F.col("t")).alias("s"))
+    assert {r["i"]: r["s"] for r in df.collect()} == {i: plain_signature(t) for i, t in enumerate(texts)}
