@@ -22,3 +22,17 @@ def test_without_training_data(tmp_path):
     out = subprocess.run([sys.executable, "-B", "-c", SHOW], cwd=tmp_path, capture_output=True, text=True, timeout=100)
     n, n_sql, subset, has = out.stdout.split()
     assert int(n) > 60 and int(n_sql) > 60 and subset == "True" and has == "False", out.stderr
+
+
+def test_without_its_two_folders(tmp_path):
+    """Only the subpackage and its tests are gone; the pipeline's module is still there."""
+    skip = shutil.ignore_patterns("llm", "__pycache__", "test_entry.py")
+    shutil.copytree(ROOT / "lamella", tmp_path / "lamella", ignore=skip)
+    shutil.copytree(ROOT / "tests", tmp_path / "tests", ignore=skip)
+    for name in ("__spark_entry__.py", "corpus_pipeline.py", "bench.py"):
+        shutil.copy(ROOT / name, tmp_path)
+    out = subprocess.run([sys.executable, "-B", "-c", SHOW], cwd=tmp_path, capture_output=True, text=True, timeout=100)
+    n, n_sql, subset, has = out.stdout.split()
+    assert int(n) > 60 and int(n_sql) > 60 and subset == "True" and has == "False", out.stderr
+    tests = subprocess.run([sys.executable, "-B", "-m", "pytest", "-q", "--collect-only", "-p", "no:cacheprovider", "tests"], cwd=tmp_path, capture_output=True, text=True, timeout=200)
+    assert tests.returncode == 0 and "error" not in tests.stdout.lower(), tests.stdout[-2000:]
