@@ -148,10 +148,12 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, threshold: float) ->
 
     groups = F.ceil(F.col("n") / PARTNERS).cast("int")
     sizes = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("n")).select("u", groups.alias("groups"))
-    text = lambda name: texts.select(F.col("doc_id").alias(name), F.col("text").alias("text"))
-    heads = sizes.join(text("u"), "u").select("u", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.lit(None).cast("long").alias("v"), "text")
-    partners = join_by_key(pairs, sizes, ["u"]).select("u", F.pmod(F.xxhash64("v"), F.col("groups")).cast("int").alias("part"), "v").join(text("v"), "v").select("u", "part", "v", "text")
-    rows = heads.unionAll(partners).repartition("u", "part").sortWithinPartitions("u", "part", F.asc_nulls_first("v"))
+    heads = sizes.select("u", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.lit(None).cast("long").alias("v"), F.col("u").alias("doc_id"))
+    # a u with very many pairs: the number of its groups is a small row
+    partners = join_by_key(pairs, sizes, ["u"]).select("u", F.pmod(F.xxhash64("v"), F.col("groups")).cast("int").alias("part"), "v", F.col("v").alias("doc_id"))
+    # all texts go through one shuffle, in the same way at every size
+    needed = heads.unionAll(partners).join(texts.select("doc_id", "text").hint("merge"), "doc_id").select("u", "part", "v", "text")
+    rows = needed.repartition("u", "part").sortWithinPartitions("u", "part", F.asc_nulls_first("v"))
     return materialize(rows.mapInArrow(run, "u long, v long"), "links")
 
 
