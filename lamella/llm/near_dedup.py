@@ -36,6 +36,8 @@ SKETCH = 8
 BLOCK = 4096
 #: Pairs of one document that are confirmed together, about.
 PARTNERS = 500
+#: Documents, and characters of their texts, that a tile holds about.
+TILE, TILE_CHARS = 512, 4_000_000
 _rng = np.random.default_rng(7)
 _A = _rng.integers(0, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, SAMPLES, dtype=np.uint64)
@@ -157,6 +159,79 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, threshold: float) ->
     return materialize(rows.mapInArrow(run, "u long, v long"), "links")
 
 
+class _Sets:
+    """Shingle sets of documents, for the exact likeness of many pairs of them."""
+
+    def __init__(self, ids: list[int], sets: list[np.ndarray]):
+        last = {d: k for k, d in enumerate(ids)}
+        self.ids = np.array(sorted(last), dtype=np.int64)
+        sets = [sets[last[d]] for d in self.ids.tolist()]
+        self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
+        different, number = np.unique(np.concatenate(sets), return_inverse=True)
+        self.members = np.split(number.astype(np.int32), np.cumsum(self.sizes)[:-1])
+        self.mark = np.zeros(len(different), dtype=bool)
+
+    def alike(self, u: np.ndarray, v: np.ndarray, percent: int) -> np.ndarray:
+        """Whether 100 * intersection >= percent * union, of each pair."""
+        x, y = np.searchsorted(self.ids, u), np.searchsorted(self.ids, v)
+        good = np.zeros(len(u), dtype=bool)
+        near = np.flatnonzero(100 * np.minimum(self.sizes[x], self.sizes[y]) >= percent * np.maximum(self.sizes[x], self.sizes[y]))
+        near = near[np.argsort(x[near], kind="stable")]
+        for pairs in np.split(near, np.flatnonzero(np.diff(x[near])) + 1) if len(near) else []:
+            own, n = self.members[x[pairs[0]]], self.sizes[y[pairs]]
+            self.mark[own] = True
+            both = np.add.reduceat(self.mark[np.concatenate([self.members[k] for k in y[pairs].tolist()])], np.cumsum(n) - n, dtype=np.int64)
+            self.mark[own] = False
+            good[pairs] = (both > 0) & (100 * both >= percent * (len(own) + n - both))
+        return good
+
+
+def tiled(pairs: DataFrame, texts: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """pairs (u, v) with the two tiles (a, b) they are in; and (a, b, doc_id): the documents of both that have pairs there.
+
+    groups: (doc_id, g); which documents have one g matters for the number of rows only.
+    """
+    sizes = materialize(texts.select("doc_id", F.length("text").alias("chars")).join(groups, "doc_id"), "sizes")
+    n = F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum("chars") / TILE_CHARS)).cast("int")
+    placed = join_by_key(sizes, sizes.groupBy("g").agg(n.alias("n")), ["g"])
+    placed = materialize(placed.select("doc_id", F.xxhash64("g", F.pmod(F.xxhash64("doc_id"), F.col("n"))).alias("tile")).groupBy("doc_id").agg(F.min("tile").alias("tile")), "tiles")
+    of = lambda name, tile: placed.select(F.col("doc_id").alias(name), F.col("tile").alias(tile))
+    met = pairs.join(of("u", "tu"), "u").join(of("v", "tv"), "v")
+    met = materialize(met.select(F.least("tu", "tv").alias("a"), F.greatest("tu", "tv").alias("b"), "u", "v"), "met")
+    needed = met.select("a", "b", F.col("u").alias("doc_id")).unionAll(met.select("a", "b", "v")).distinct()
+    return met, needed
+
+
+def confirm_in_tiles(pairs: DataFrame, texts: DataFrame, groups: DataFrame, width: int, threshold: float) -> DataFrame:
+    """What confirm() gives, where documents of the same groups have very many pairs with one another. Materialized.
+
+    Groups (doc_id, g) are cut into tiles. For each two tiles their texts come once, before the pairs of their documents,
+    so what is shuffled grows with the documents and not, as the pairs, with their square.
+    """
+    percent = round(100 * threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, ids, sets, index = None, [], [], None
+        for b in batches:
+            for part in slices(b, 4, 2_000_000):
+                for key, own in _keyed(iter([part]), 2):
+                    if key != before:
+                        before, ids, sets, index = key, [], [], None
+                    n = own.column(3).null_count
+                    ids += own.column(2)[:n].to_pylist()
+                    sets += shingle_sets([(t or "").encode() for t in own.column(4)[:n].to_pylist()], width)
+                    if n < own.num_rows:
+                        index = index or _Sets(ids, sets)
+                        u, v = np.asarray(own.column(2)[n:]), np.asarray(own.column(3)[n:])
+                        good = index.alike(v, u, percent)  # sorted by v
+                        yield pa.RecordBatch.from_arrays([pa.array(u[good]), pa.array(v[good])], names=["u", "v"])
+
+    met, needed = tiled(pairs, texts, groups)
+    rows = needed.join(texts.select("doc_id", "text").hint("merge"), "doc_id").select("a", "b", F.col("doc_id").alias("u"), F.lit(None).cast("long").alias("v"), "text")
+    rows = rows.unionAll(met.select("a", "b", "u", "v", F.lit(None).cast("string").alias("text")))
+    return materialize(rows.repartition("a", "b").sortWithinPartitions("a", "b", F.asc_nulls_first("v")).mapInArrow(run, "u long, v long"), "links")
+
+
 def _tie(rows: DataFrame, least: DataFrame, total: int) -> DataFrame:
     """rows (a, b) with m of least (a, m, n; materialized), where some ids may have a large share of all rows."""
     return join_by_key(rows, least.select("a", "m"), ["a"], hot=least.where(F.col("n") >= max(1000, total * HOT_SHARE)).select("a"))
@@ -253,12 +328,19 @@ def link(reps: DataFrame, docs: DataFrame, width: int, threshold: float) -> Data
     apart = state.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("key")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    rows = join_by_key(state, apart, ["key"], "left_semi", hot).join(sketches, "rep").withColumn("own", own)
+    near = materialize(join_by_key(state, apart, ["key"], "left_semi", hot), "apart")
+    rows = near.join(sketches, "rep").withColumn("own", own)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "c", *bits)
     more = materialize(_near_in_blocks(rows, bits, most_bits(threshold)).join(tested, ["u", "v"], "left_anti"), "pairs")
     if not more.isEmpty():
-        found = components(links.unionAll(confirm(more, texts, width, threshold)))
+        # in a large bucket pairs grow with the square of its members: texts come by tiles of them
+        # of a member's buckets, and of those of the members it meets there, the largest names its group
+        own = near.groupBy("rep").agg(F.max(F.struct("n", "key")).alias("most"))
+        met = near.select("rep", "key").join(own, "rep").groupBy("key").agg(F.max("most").alias("most"))
+        groups = join_by_key(near.select("rep", "key"), met, ["key"], hot=hot).groupBy(F.col("rep").alias("doc_id")).agg(F.max("most").alias("most"))
+        groups = groups.select("doc_id", F.col("most.key").alias("g"))
+        found = components(links.unionAll(confirm_in_tiles(more, texts, groups, width, threshold)))
     discard(texts)
     return found
 

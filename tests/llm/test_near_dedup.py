@@ -147,3 +147,33 @@ def test_shingle_sets_have_the_right_sizes():
     texts = [t or "" for _, t in corpus(60)]
     for width in (1, 2, 5):
         assert [len(s) for s in shingles.shingle_sets([t.encode() for t in texts], width)] == [len(shingle_set(t, width)) for t in texts]
+
+
+def test_texts_of_a_large_bucket_come_by_tiles(spark, monkeypatch):
+    """Many documents that share buckets but few links: no step sends a text for each of their pairs."""
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(200)]
+    changed = lambda words, n: [f"x{rng.random()}" if k in spots else w for spots in [set(rng.sample(range(len(words)), n))] for k, w in enumerate(words)]
+    texts = [changed(base, 12) for _ in range(240)]
+    texts += [changed(texts[k], 1) for k in range(0, 240, 8)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sent, confirm, tiled = [], near_dedup.confirm, getattr(near_dedup, "tiled", None)
+    monkeypatch.setattr(near_dedup, "confirm", lambda pairs, *rest: (sent.append(pairs.count()), confirm(pairs, *rest))[1])
+    monkeypatch.setattr(near_dedup, "TILE", 64, raising=False)
+    if tiled:
+        monkeypatch.setattr(near_dedup, "tiled", lambda *a: (found := tiled(*a), sent.append(found[1].count()))[0])
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(docs, 5).collect()}
+    assert got == brute(rows, 5) and 200 < len({c for _, c in got.values()}) < 245
+    assert len(sent) == 2 and max(sent) < 8 * len(rows)
+
+
+def test_confirmed_in_tiles(spark):
+    """All pairs of a corpus, groups or not, against the plain confirmation."""
+    rows = [(i, t) for i, t in corpus(150) if shingle_set(t, 2)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = spark.createDataFrame([(a, b) for a, _ in rows for b, _ in rows if a < b], "u long, v long")
+    plain = sorted(map(tuple, near_dedup.confirm(pairs, texts, 2, 0.8).collect()))
+    for g in ("0", "doc_id", "doc_id % 3"):
+        got = near_dedup.confirm_in_tiles(pairs, texts, texts.selectExpr("doc_id", f"{g} as g"), 2, 0.8)
+        assert sorted(map(tuple, got.collect())) == plain and plain
