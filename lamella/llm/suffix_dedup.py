@@ -6,7 +6,8 @@
    anchors. Neighbouring strings with one anchor are a run, its text a context (at most 80 bytes). Each batch asks about
    its distinct anchors, with how many runs they have and whether in several documents; the answer names those that
    another document has, too. Strings with other anchors are found nowhere else.
-3. Contexts of such anchors are cut from the batches and meet by anchor, in blocks of about 300 kB. Those of an anchor
+3. Contexts of such anchors are cut from the batches and meet by anchor, in blocks of about 300 kB. What is shuffled is a
+   row for each batch and group of blocks, so that rows don't grow with the product of batches and blocks. Those of an anchor
    that FREQUENT runs have are cut into single strings; equal ones of a batch become one entry of its smallest document,
    and they meet by their own hash, first within groups of SALT batches, then what is left of each group: nothing makes
    an unbounded group.
@@ -39,6 +40,8 @@ ANCHOR = 20
 FREQUENT = 20_000
 #: Anchors, and bytes of contexts, that one block holds about.
 BLOCK_ANCHORS, BLOCK_BYTES = 400_000, 300_000
+#: Buckets of anchors, and groups of blocks, from which on they grow instead of their number, up to so many anchors and bytes.
+MANY, MOST_ANCHORS, GROUP_BYTES, MOST_BYTES = 256, 1_600_000, 4_000_000, 16_000_000
 #: Bytes of text in a batch, and strings that start in a piece, at most.
 BATCH_BYTES, PIECE = 2_000_000, 500_000
 #: Batches whose frequent strings meet first.
@@ -391,8 +394,18 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(out, schema)
 
 
-def _cut_contexts(n_buckets: int, n_blocks: int, n_salts: int):
-    """The contexts of each batch's shared anchors, packed by the block in which they meet; and spans of frequent strings
+def _ranges(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """begin[i] and the n[i] - 1 integers after it, for each i."""
+    return np.repeat(begin - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+
+
+def _few(whole: int, small: int, large: int) -> int:
+    """Into how many parts of small size whole goes, if they are at most MANY; else MANY, or parts of large size."""
+    return max(1, min(whole // small, MANY), whole // large)
+
+
+def _cut_contexts(n_buckets: int, n_blocks: int, n_groups: int, n_salts: int):
+    """The contexts of each batch's shared anchors, packed by the group of the block in which they meet; and spans of frequent strings
     that a smaller document of the batch has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,7 +419,7 @@ def _cut_contexts(n_buckets: int, n_blocks: int, n_salts: int):
             at = np.minimum(np.searchsorted(asked, key), len(asked) - 1)
             shared = asked[at] == key
             rows = np.flatnonzero(shared & (often[at] == 0))
-            out = _by_block(data, first[rows], last[rows] - first[rows] + LENGTH, doc[rows], first[rows] + shift[rows], (h[rows] % np.uint64(n_blocks)).astype(np.int64))
+            out = _by_block(data, first[rows], last[rows] - first[rows] + LENGTH, doc[rows], first[rows] + shift[rows], (h[rows] % np.uint64(n_blocks)).astype(np.int64), n_groups)
             rows = np.flatnonzero(shared & (often[at] == 1))
             if len(rows):
                 n = last[rows] - first[rows] + 1
@@ -414,20 +427,21 @@ def _cut_contexts(n_buckets: int, n_blocks: int, n_salts: int):
                 own, start = np.repeat(doc[rows], n), single + np.repeat(shift[rows], n)
                 hashed = Hashes(data)(single, single + LENGTH)
                 salt = int(mix(np.array([r["batch"]], dtype=np.uint64))[0] % np.uint64(n_salts))
-                meet = -1 - ((hashed % np.uint64(n_blocks)).astype(np.int64) * n_salts + salt)
+                block = (hashed % np.uint64(n_blocks)).astype(np.int64)
+                meet = -1 - (block % n_groups * n_salts + salt)
                 for part in _parts(hashed, 50_000):
                     text = np.ascontiguousarray(data[single[part][:, None] + np.arange(LENGTH)])
                     spans, entries = _equal_strings(text, own[part], start[part])
-                    out += _by_hash(text.tobytes(), entries, meet[part])
+                    out += _by_hash(text.tobytes(), entries, meet[part], block[part])
                     if len(spans):
-                        out.append({"bucket": r["batch"] % n_blocks, "spans": _pack(spans)})
+                        out.append({"bucket": r["batch"] % n_groups, "spans": _pack(spans)})
             yield pa.RecordBatch.from_pylist(out, _CONTEXTS)
 
     return run
 
 
-_CONTEXTS = pa.schema([("bucket", pa.int64()), ("docs", pa.binary()), ("starts", pa.binary()), ("sizes", pa.binary()), ("data", pa.binary()), ("spans", pa.binary())])
-_CONTEXTS_SQL = "bucket long, docs binary, starts binary, sizes binary, data binary, spans binary"
+_CONTEXTS = pa.schema([("bucket", pa.int64()), ("docs", pa.binary()), ("starts", pa.binary()), ("sizes", pa.binary()), ("data", pa.binary()), ("spans", pa.binary()), ("blocks", pa.binary())])
+_CONTEXTS_SQL = "bucket long, docs binary, starts binary, sizes binary, data binary, spans binary, blocks binary"
 
 
 def _merged(doc: np.ndarray, start: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -454,16 +468,15 @@ def _equal_strings(text: np.ndarray, docs: np.ndarray, starts: np.ndarray) -> tu
     return spans, {"at": by[new], "docs": docs[new], "counts": np.bincount(string[least][opens], minlength=len(new)), "spans": own[:, 1:]}
 
 
-def _by_hash(data: bytes, entries: dict[str, np.ndarray], bucket: np.ndarray) -> list[dict]:
+def _by_hash(data: bytes, entries: dict[str, np.ndarray], bucket: np.ndarray, block: np.ndarray) -> list[dict]:
     """Entries of single strings packed by the bucket in which they meet."""
     text = np.frombuffer(data, dtype=np.uint8).reshape(-1, LENGTH)[entries["at"]]
-    bucket, counts = bucket[entries["at"]], entries["counts"]
+    bucket, block, counts = bucket[entries["at"]], block[entries["at"]], entries["counts"]
     by = np.argsort(bucket, kind="stable")
     begin, out = np.cumsum(counts) - counts, []
     for part in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1) if len(by) else []:
         n = counts[part]
-        index = np.repeat(begin[part] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-        out.append({"bucket": int(bucket[part[0]]), "docs": _pack(entries["docs"][part]), "starts": _pack(entries["spans"][index]), "sizes": _pack(n), "data": text[part].tobytes()})
+        out.append({"bucket": int(bucket[part[0]]), "docs": _pack(entries["docs"][part]), "starts": _pack(entries["spans"][_ranges(begin[part], n)]), "sizes": _pack(n), "data": text[part].tobytes(), "blocks": block[part].astype("<u4").tobytes()})
     return out
 
 
@@ -474,40 +487,47 @@ def _parts(hashed: np.ndarray, size: int) -> list[np.ndarray]:
     return np.split(by, np.flatnonzero(np.diff(part[by])) + 1)
 
 
-def _by_block(data: np.ndarray, first: np.ndarray, size: np.ndarray, doc: np.ndarray, start: np.ndarray, bucket: np.ndarray) -> list[dict]:
-    """Contexts packed by the bucket in which they meet."""
-    by = np.argsort(bucket, kind="stable")
+def _by_block(data: np.ndarray, first: np.ndarray, size: np.ndarray, doc: np.ndarray, start: np.ndarray, block: np.ndarray, n_groups: int) -> list[dict]:
+    """Contexts packed by the group of the block in which they meet."""
+    bucket = block % n_groups
+    by = np.lexsort((block, bucket))
     out = []
     for part in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1) if len(by) else []:
         n = size[part]
-        index = np.repeat(first[part] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-        out.append({"bucket": int(bucket[part[0]]), "docs": _pack(doc[part]), "starts": _pack(start[part]), "sizes": _pack(n), "data": data[index].tobytes()})
+        out.append({"bucket": int(bucket[part[0]]), "docs": _pack(doc[part]), "starts": _pack(start[part]), "sizes": _pack(n), "data": data[_ranges(first[part], n)].tobytes(), "blocks": block[part].astype("<u4").tobytes()})
     return out
 
 
 def _sort_blocks(n_salts: int):
-    """(doc_id, a, b): spans of bytes to remove, from what meets in one bucket at a time: contexts, or single strings.
+    """(doc_id, a, b): spans of bytes to remove, from what meets in one block at a time: contexts, or single strings. A bucket has
+    the blocks of a group.
 
     Of single strings that met within groups of batches, those that no smaller document has there go on to meet those of
-    other groups (bucket, docs, starts, sizes, data).
+    other groups of batches (bucket, docs, starts, sizes, data, blocks).
     """
-    names = ["doc_id", "a", "b", "bucket", "docs", "starts", "sizes", "data"]
-    kinds = [pa.int64()] * 4 + [pa.binary()] * 4
+    names = ["doc_id", "a", "b", "bucket", "docs", "starts", "sizes", "data", "blocks"]
+    kinds = [pa.int64()] * 4 + [pa.binary()] * 5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for parts in _groups(batches):
             found, rest = [_values(parts, 5).reshape(-1, 3)], []
             docs, starts, sizes, data, bucket = _values(parts, 1), _values(parts, 2), _values(parts, 3), _values(parts, 4, "u1"), parts[0].column(0)[0].as_py()
-            if bucket >= 0:
-                found.append(np.stack(repeated(docs, starts, sizes, data), axis=1))
-            else:
-                gone = smaller_elsewhere(docs, np.full(len(docs), LENGTH), data)[0][::LENGTH]
+            block, width = _values(parts, 6, "<u4"), sizes if bucket >= 0 else np.full(len(docs), LENGTH)
+            begin, gone = np.cumsum(width) - width, np.zeros(len(docs), dtype=bool)
+            by = np.argsort(block, kind="stable")
+            for own in np.split(by, np.flatnonzero(np.diff(block[by])) + 1) if len(by) else []:
+                text = data[_ranges(begin[own], width[own])]
+                if bucket >= 0:
+                    found.append(np.stack(repeated(docs[own], starts[own], sizes[own], text), axis=1))
+                else:
+                    gone[own] = smaller_elsewhere(docs[own], width[own], text)[0][::LENGTH]
+            if bucket < 0:
                 spans, hit = starts.reshape(-1, 2), np.repeat(gone, sizes)
                 found.append(np.column_stack([np.repeat(docs, sizes)[hit], spans[hit]]))
                 if n_salts > 1:
                     left = np.flatnonzero(~gone)
                     entries = {"at": left, "docs": docs[left], "counts": sizes[left], "spans": spans[~hit]}
-                    rest = _by_hash(data.tobytes(), entries, np.full(len(docs), -1 - (-1 - bucket) // n_salts))
+                    rest = _by_hash(data.tobytes(), entries, np.full(len(docs), -1 - (-1 - bucket) // n_salts), block)
             spans = np.concatenate(found).T
             columns = [pa.array(np.ascontiguousarray(x)) for x in spans] + [pa.nulls(spans.shape[1], k) for k in kinds[3:]]
             yield pa.RecordBatch.from_arrays(columns, names=names)
@@ -517,26 +537,27 @@ def _sort_blocks(n_salts: int):
     return run
 
 
-_FOUND_SQL = "doc_id long, a long, b long, bucket long, docs binary, starts binary, sizes binary, data binary"
+_FOUND_SQL = "doc_id long, a long, b long, bucket long, docs binary, starts binary, sizes binary, data binary, blocks binary"
 
 
 def repeated_spans(docs: DataFrame) -> list[DataFrame]:
     """(doc_id, a, b) of docs (doc_id, text; no null ids), in several tables: spans to remove, which may overlap or touch."""
     batches = materialize(pieces(docs), "batches")
     n_bytes, n_batches = batches.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count(F.lit(1))).first()
-    n_buckets = max(1, n_bytes // (17 * BLOCK_ANCHORS))
+    n_buckets = _few(n_bytes, 17 * BLOCK_ANCHORS, 17 * MOST_ANCHORS)
     asked = batches.mapInArrow(_ask(n_buckets), "bucket long, batch long, anchors binary, entries binary")
     answers = materialize(asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answer, "batch long, bucket long, anchors binary, frequent binary, n_open long, n_frequent long"), "answers")
     n_open, n_frequent = answers.agg(F.coalesce(F.sum("n_open"), F.lit(0)), F.coalesce(F.sum("n_frequent"), F.lit(0))).first()
-    n_blocks, n_salts = max(1, (67 * n_open + 17 * LENGTH * n_frequent // 4) // BLOCK_BYTES), max(1, -(-n_batches // SALT))
+    n_met = 67 * n_open + 17 * LENGTH * n_frequent // 4
+    n_blocks, n_groups, n_salts = max(1, n_met // BLOCK_BYTES), _few(n_met, GROUP_BYTES, MOST_BYTES), max(1, -(-n_batches // SALT))
     own = answers.groupBy("batch").agg(F.collect_list(F.struct("bucket", "anchors", "frequent")).alias("answers"))
-    contexts = batches.join(own.hint("shuffle_hash"), "batch").mapInArrow(_cut_contexts(n_buckets, n_blocks, n_salts), _CONTEXTS_SQL)
+    contexts = batches.join(own.hint("shuffle_hash"), "batch").mapInArrow(_cut_contexts(n_buckets, n_blocks, n_groups, n_salts), _CONTEXTS_SQL)
     found = materialize(contexts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sort_blocks(n_salts), _FOUND_SQL), "spans")
     discard(batches)
     discard(answers)
     spans = [found.where("doc_id is not null").select("doc_id", "a", "b")]
     if n_salts > 1:
-        rest = found.where("doc_id is null").select("bucket", "docs", "starts", "sizes", "data", F.lit(None).cast("binary").alias("spans"))
+        rest = found.where("doc_id is null").select("bucket", "docs", "starts", "sizes", "data", F.lit(None).cast("binary").alias("spans"), "blocks")
         spans.append(materialize(rest.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sort_blocks(1), _FOUND_SQL), "spans").select("doc_id", "a", "b"))
     return spans
 

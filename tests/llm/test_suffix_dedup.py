@@ -63,6 +63,32 @@ def test_against_all_strings(spark, monkeypatch, frequent, partitions, small):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("frequent", [20_000, 3])
+def test_rows_are_not_batches_times_blocks(spark, monkeypatch, frequent):
+    """A batch sends a row for each group of blocks, of which there are few, and not for each block."""
+    for name, value in {"FREQUENT": frequent, "BLOCK_BYTES": 500, "BATCH_BYTES": 2_000, "SALT": 2, "MANY": 4, "GROUP_BYTES": 5_000}.items():
+        monkeypatch.setattr(suffix_dedup, name, value, raising=False)
+    sent, batches, cut, pieces = spark.sparkContext.accumulator(0), [], suffix_dedup._cut_contexts, suffix_dedup.pieces
+
+    def counted(*args):
+        run = cut(*args)
+
+        def count(parts):
+            for b in run(parts):
+                sent.add(b.num_rows)
+                yield b
+
+        return count
+
+    monkeypatch.setattr(suffix_dedup, "_cut_contexts", counted)
+    monkeypatch.setattr(suffix_dedup, "pieces", lambda docs: (found := pieces(docs), batches.append(found.count()))[0])
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], bytes(r["kept"])) for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert got == brute(rows)
+    assert batches[0] > 10 and 0 < sent.value <= 10 * batches[0]
+
+
 @pytest.mark.parametrize("frequent", [20_000, 3])
 def test_hashes_decide_nothing(spark, monkeypatch, frequent):
     """With anchors of two bits and hashes of four, which collide all the time, the same bytes go."""
