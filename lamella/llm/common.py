@@ -111,10 +111,11 @@ def join_by_key(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     right; all other rows go through the ordinary shuffle.
     """
     keys = list(keys)
-    hot = materialize(hot_keys(left, keys) if hot is None else hot, "hot")
+    hot = hot_keys(left, keys) if hot is None else hot
+    # mostly nothing is hot: no table is written for that
     if hot.isEmpty():
         return left.join(right, keys, how)
-    some = F.broadcast(hot)
+    some = F.broadcast(materialize(hot, "hot"))
     rare = left.join(some, keys, "left_anti").join(right, keys, how)
     busy = left.join(F.broadcast(right.join(some, keys, "left_semi")), keys, how).join(some, keys, "left_semi")
     return rare.unionByName(busy)

@@ -237,16 +237,25 @@ def _tie(rows: DataFrame, least: DataFrame, total: int) -> DataFrame:
     return join_by_key(rows, least.select("a", "m"), ["a"], hot=least.where(F.col("n") >= max(1000, total * HOT_SHARE)).select("a"))
 
 
+def _open_ends(edges: DataFrame) -> tuple[int, int]:
+    """How many edges (a, b), b < a, there are; and how many a have several b, or are a b themselves: none if all are stars."""
+    ends = edges.select(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(edges.select("b", F.lit(0), F.lit(1)))
+    ends = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return tuple(ends.agg(F.coalesce(F.sum("up"), F.lit(0)), F.count_if((F.col("up") > 1) | ((F.col("up") == 1) & (F.col("down") == 1)))).first())
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable over links (u, v), for each id in links.
 
-    Large-star and small-star by turns: each id's neighbours are tied to its smallest neighbour, until nothing
-    changes; about log2(longest path) rounds, each over as many rows as there are links.
+    Large-star and small-star by turns: each id's neighbours are tied to its smallest neighbour, until there are
+    only stars; about log2(longest path) rounds, each over as many rows as there are links.
     """
     sides = links.where("u <> v")
     edges = materialize(sides.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct(), "edges")
-    before, total = None, edges.count()
     while True:
+        total, open_ends = _open_ends(edges)
+        if not open_ends:
+            break
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n")), "least")
         large = materialize(_tie(both, least, 2 * total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
@@ -256,10 +265,6 @@ def components(links: DataFrame) -> DataFrame:
         for table in (edges, least, large, small):
             discard(table)
         edges = new
-        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if now == before:
-            break
-        before, total = now, now[0]
     # all edges are stars now
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionAll(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 

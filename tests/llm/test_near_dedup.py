@@ -6,7 +6,8 @@ import re
 import numpy as np
 import pytest
 
-from lamella.llm import near_dedup, shingles
+from lamella.llm import common, near_dedup, shingles
+from lamella.sources import shared
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -177,3 +178,29 @@ def test_confirmed_in_tiles(spark):
     for g in ("0", "doc_id", "doc_id % 3"):
         got = near_dedup.confirm_in_tiles(pairs, texts, texts.selectExpr("doc_id", f"{g} as g"), 2, 0.8)
         assert sorted(map(tuple, got.collect())) == plain and plain
+
+
+def test_no_table_is_written_without_need(spark, monkeypatch):
+    """Stars need no round of the components, a chain only as many as change it; where nothing is hot there is no table of hot keys."""
+    written = []
+    counted = lambda df, name: written.append(name) or shared.materialize(df, name)
+    monkeypatch.setattr(near_dedup, "materialize", counted)
+    monkeypatch.setattr(common, "materialize", counted)
+    stars = [(1, i) for i in range(2, 40)] + [(i, 50) for i in range(51, 90)] + [(1, 2), (7, 7)]
+    got = {r["id"]: r["component"] for r in near_dedup.components(spark.createDataFrame(stars, "u long, v long")).collect()}
+    assert got == {**{i: 1 for i in range(1, 40)}, **{i: 50 for i in range(50, 90)}} and written == ["edges"]
+    written.clear()
+    got = {r["id"]: r["component"] for r in near_dedup.components(spark.createDataFrame([(1, 2), (2, 3)], "u long, v long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1} and written == ["edges", "least", "large", "small", "edges"]
+    written.clear()
+    rows = corpus(200)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    assert got == {i: c for i, (_, c) in brute(rows, 2).items()} and written.count("hot") == 1
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_hot_keys_join_as_others(spark, how):
+    left = spark.createDataFrame([(1 if i % 2 else i, i) for i in range(5000)] + [(None, -1), (9001, -2)], "k long, x long")
+    right = spark.createDataFrame([(i, 10 * i) for i in range(4000)], "k long, y long")
+    assert not common.hot_keys(left, ["k"]).isEmpty()
+    assert sorted(map(str, common.join_by_key(left, right, ["k"], how).collect())) == sorted(map(str, left.join(right, ["k"], how).collect()))
