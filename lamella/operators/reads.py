@@ -33,12 +33,17 @@ def ordered_scan(log: DataFrame, start: Any = None, end: Any = None, limit: int
     return rows if limit is None else rows.limit(limit)
 
 
-def prefix_scan(log: DataFrame, prefix: str | bytes) -> DataFrame:
-    """Keys with a prefix, as the range that holds them, so that files and row groups are skipped."""
+def with_prefix(rows: DataFrame, prefix: str | bytes) -> DataFrame:
+    """All rows whose key has a prefix, as the range that holds them, so that files and row groups are skipped; nothing is reconciled."""
     if isinstance(prefix, str):
-        return visible(log.where(F.col("key").startswith(prefix)))
-    rows, end = in_range(log, prefix), after_prefix(prefix)
-    return visible(rows if end is None else rows.where(F.col("key") < F.lit(end)))
+        return rows.where(F.col("key").startswith(prefix))
+    rows, end = in_range(rows, prefix), after_prefix(prefix)
+    return rows if end is None else rows.where(F.col("key") < F.lit(end))
+
+
+def prefix_scan(log: DataFrame, prefix: str | bytes) -> DataFrame:
+    """The current state of the keys with a prefix."""
+    return visible(with_prefix(log, prefix))
 
 
 def keys(log: DataFrame) -> DataFrame:
